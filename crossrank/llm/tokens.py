@@ -1,6 +1,6 @@
 """Byte-level BPE by merge ranks: encoding with a hierarchical-bitmap rank queue, and decoding.
 
-Each pre-token's adjacent pairs are filed under their merge rank. A three-level bitmap over the ranks tells
+Each pre-token's adjacent pairs are filed under their merge rank. A two-level bitmap over the ranks tells
 the least rank that has entries by find-first-set; its bucket gives the leftmost position of the linked list
 of symbols. Entries that a merge made stale are skipped when met. A pre-token of n bytes takes O(n) bucket
 steps, so very long pre-tokens (one unbroken run of letters) do not become quadratic.
@@ -28,85 +28,63 @@ from crossrank.llm.common import table
 REMEMBERED = 250_000
 
 
-class RankQueue:
-    """Buckets of positions by rank; three levels of 64-way bitmaps find the least rank with entries."""
-
-    __slots__ = ("buckets", "low", "mid", "top")
-
-    def __init__(self) -> None:
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
-        self.top = 0
-
-    def put(self, rank: int, at: int) -> None:
-        if (b := self.buckets.get(rank)) is not None:
-            heappush(b, at)
-            return
-        self.buckets[rank] = [at]
-        w, m = rank >> 6, rank >> 12
-        self.low[w] = self.low.get(w, 0) | 1 << (rank & 63)
-        self.mid[m] = self.mid.get(m, 0) | 1 << (w & 63)
-        self.top |= 1 << m
-
-    def least(self) -> int:
-        """The least rank with entries; -1 if there are none."""
-        if not self.top:
-            return -1
-        m = (self.top & -self.top).bit_length() - 1
-        x = self.mid[m]
-        w = (m << 6) + (x & -x).bit_length() - 1
-        x = self.low[w]
-        return (w << 6) + (x & -x).bit_length() - 1
-
-    def pop(self, rank: int) -> int:
-        """The leftmost position of a bucket; an emptied bucket leaves the bitmaps."""
-        b = self.buckets[rank]
-        at = heappop(b)
-        if not b:
-            del self.buckets[rank]
-            w, m = rank >> 6, rank >> 12
-            self.low[w] &= ~(1 << (rank & 63))
-            if not self.low[w]:
-                self.mid[m] &= ~(1 << (w & 63))
-                if not self.mid[m]:
-                    self.top &= ~(1 << m)
-        return at
-
-
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Ids of one pre-token: least rank first, leftmost first among equals."""
-    if (whole := ranks.get(piece)) is not None:
+    """Ids of one pre-token: least rank first, leftmost first among equals.
+
+    ``buckets`` hold positions by rank; ``words`` hold 64 ranks each as bits, and ``top`` has a bit for each
+    word that is not zero. The least rank is two find-first-sets away.
+    """
+    get = ranks.get
+    if (whole := get(piece)) is not None:
         return [whole]
     n = len(piece)
     after = list(range(1, n + 1))  # start of the next symbol, n at the end
     before = list(range(-1, n))
     now = [-1] * (n + 1)  # rank of the pair that starts here
-    get = ranks.get
-    queue = RankQueue()
+    buckets: dict[int, list[int]] = {}
+    words: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
         if (r := get(piece[i : i + 2])) is not None:
             now[i] = r
-            queue.put(r, i)
-    while (r := queue.least()) >= 0:
-        i = queue.pop(r)
-        if now[i] != r:
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                w = r >> 6
+                words[w] = words.get(w, 0) | 1 << (r & 63)
+                top |= 1 << w
+    while top:
+        w = (top & -top).bit_length() - 1
+        x = words[w]
+        r = (w << 6) + (x & -x).bit_length() - 1
+        bucket = buckets[r]
+        i = heappop(bucket)
+        if not bucket:
+            del buckets[r]
+            x &= x - 1
+            words[w] = x
+            if not x:
+                top &= top - 1
+        if now[i] != r:  # stale
             continue
         j = after[i]
         end = after[i] = after[j]
-        now[j] = -1
+        now[j] = now[i] = -1
         before[end] = i
-        if end < n and (r := get(piece[i : after[end]])) is not None:
-            now[i] = r
-            queue.put(r, i)
-        else:
-            now[i] = -1
-        if (p := before[i]) >= 0:
-            if (r := get(piece[p:end])) is not None:
-                now[p] = r
-                queue.put(r, p)
-            else:
-                now[p] = -1
+        for at, to in ((i, after[end] if end < n else 0), (before[i], end)):
+            if to and at >= 0:
+                if (r := get(piece[at:to])) is None:
+                    now[at] = -1
+                    continue
+                now[at] = r
+                if r in buckets:
+                    heappush(buckets[r], at)
+                else:
+                    buckets[r] = [at]
+                    w = r >> 6
+                    words[w] = words.get(w, 0) | 1 << (r & 63)
+                    top |= 1 << w
     ids, i = [], 0
     while i < n:
         ids.append(ranks[piece[i : after[i]]])
