@@ -25,10 +25,10 @@ from crossrank.llm.labelled import labelled
 
 #: Labelled rows learned from, at most; hash buckets; features kept; factors of a feature.
 LEARN_ROWS = 15_000
-BUCKETS, KEPT, FACTORS = 1 << 20, 2048, 8
+BUCKETS, KEPT, FACTORS = 1 << 20, 1024, 8
 #: Bytes of the beginnings of words that are terms too.
-STEMS = (5, 6, 7, 8)
-EPOCHS, BATCH, RATE, DAMP = 30, 256, 0.05, 2e-4
+STEMS = (4, 5, 6, 7, 8)
+EPOCHS, BATCH, RATE, DAMP = 40, 256, 0.1, 1e-5
 MODULUS, HELD_OUT, CUT = 4, 2, 0.3
 #: Words that a worker remembers.
 REMEMBERED = 400_000
