@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from crossrank.llm.ann import op4_ann
 from crossrank.llm.language import op7_language
 from crossrank.llm.packing import op5_packing
 from crossrank.llm.pii import op3_pii
 from crossrank.llm.quality import op2_quality
 from crossrank.llm.substrings import op1_substrings
 from crossrank.llm.tokens import op9_bpe
+from crossrank.llm.topk import op8_topk
 from crossrank.llm.toxicity import op10_toxicity
 
 
@@ -20,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_substrings": op1_substrings,
         "op2_quality": op2_quality,
         "op3_pii": op3_pii,
+        "op4_ann": op4_ann,
         "op5_packing": op5_packing,
         "op7_language": op7_language,
+        "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
         "op10_toxicity": op10_toxicity,
     }
