@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from crossrank.llm.ann import op4_ann
+from crossrank.llm.jaccard import op6_jaccard
 from crossrank.llm.language import op7_language
 from crossrank.llm.packing import op5_packing
 from crossrank.llm.pii import op3_pii
@@ -24,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": op3_pii,
         "op4_ann": op4_ann,
         "op5_packing": op5_packing,
+        "op6_jaccard": op6_jaccard,
         "op7_language": op7_language,
         "op8_topk": op8_topk,
         "op9_bpe": op9_bpe,
