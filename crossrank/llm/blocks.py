@@ -26,17 +26,23 @@ NO_ID = np.iinfo(np.int64).max
 MESSAGE = "bucket long, block long, data binary"
 
 
-def deal(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """``doc_id, text, block`` and the number of blocks."""
-    small = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
+    """``doc_id, text, block`` and the number of blocks; with ``carry`` also the whole row but its text, as ``rest``."""
+    rest = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest")] if carry else []
+    small = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     total = int(small.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     n = max(1, -(-total // BLOCK_BYTES), min(SPREAD, total // LEAST_BYTES))
     return small.withColumn("block", block_of("doc_id", n).cast("long")), n
 
 
+def in_order(group: pa.Table) -> pa.Table:
+    """A block's rows in an order that each step repeats."""
+    return group.sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+
+
 def documents(group: pa.Table) -> tuple[pa.Array, np.ndarray, list[bytes]]:
-    """A block's ids (as they are, and as sort keys) and texts as bytes, in an order that each step repeats."""
-    group = group.select(["doc_id", "text"]).sort_by([("doc_id", "ascending"), ("text", "ascending")]).combine_chunks()
+    """A block's ids (as they are, and as sort keys) and texts as bytes, ``in_order``."""
+    group = in_order(group.select(["doc_id", "text"]))
     ids = group.column("doc_id").combine_chunks() if group.num_rows else pa.array([], pa.int64())
     texts = group.column("text").cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
     return ids, ids.fill_null(NO_ID).to_numpy(zero_copy_only=False), texts

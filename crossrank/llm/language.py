@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossrank.llm.common import fold, table
 
@@ -102,14 +103,17 @@ def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> tu
     return [r.lang for r in got], np.log(shares / shares.sum()), logs.astype(np.float32)
 
 
-def predict(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """``doc_id, lang_pred, score`` for ``doc_id, text``; the score is the posterior of the language named."""
+def annotate(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarray, text_col: str = "text") -> DataFrame:
+    """``df`` with ``lang_pred`` and ``score`` (in place of columns of these names); the score is the posterior."""
     model = df.sparkSession.sparkContext.broadcast((langs, shares, logs))
+    df = df.drop("lang_pred", "score")
+    at_text, names_out = df.columns.index(text_col), [*df.columns, "lang_pred", "score"]
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, matrix = model.value
         for b in batches:
-            texts = [t or "" for t in b.column(1).to_pylist()]
+            texts = [t or "" for t in b.column(at_text).to_pylist()]
             known = np.array([bool(_LETTER(t)) for t in texts], bool) & bool(names)
             label, score = ["und"] * len(texts), np.zeros(len(texts))
             at = np.flatnonzero(known)
@@ -119,9 +123,9 @@ def predict(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarra
                 score[at] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
                 for i, k in zip(at.tolist(), best.tolist(), strict=True):
                     label[i] = names[k]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(label), pa.array(score)], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score)], names_out)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return df.mapInArrow(run, schema)
 
 
 #: Learned from the folds of crc32(doc_id) mod 3 other than this one.
@@ -131,9 +135,10 @@ FOLDS, HELD_OUT = 3, 1
 def identify(docs: DataFrame) -> DataFrame:
     """Languages of all documents, learned from the named languages outside the held-out fold."""
     langs, shares, logs = learn(docs.filter(fold("doc_id", FOLDS) != HELD_OUT))
-    return predict(docs, langs, shares, logs)
+    return annotate(docs, langs, shares, logs)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = identify(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    found = identify(docs)
     return found.select("doc_id", (fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")

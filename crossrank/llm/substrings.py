@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, kept_state, message_table, messages
+from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
 from crossrank.llm.common import HASHES, table, windows
 
 WINDOW, ANCHOR = 13, 8
@@ -189,9 +189,12 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
     return first.filter((F.col("first") < F.col("least")) | (F.octet_length("places") > PLACE.itemsize)).select("block", "first", "places")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept``: the words that stay, joined by one space."""
-    docs, n = deal(df, id_col, text_col)
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept``: the words that stay, joined by one space.
+
+    With ``carry`` also ``rest`` (all columns but the text) and ``text`` (an empty text where it was null).
+    """
+    docs, n = deal(df, id_col, text_col, carry)
 
     def keep(key, group: pa.Table, got: pa.Table) -> pa.Table:
         ids, keys, texts = documents(group)
@@ -213,9 +216,23 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                 words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
             removed.append(total[-1] - len(words))
             kept.append(b" ".join(words))
-        return pa.table({"doc_id": ids, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
-
-    return docs.groupBy("block").cogroup(repeats(docs, n).groupBy("block")).applyInArrow(keep, "doc_id long, n_words long, n_removed long, kept string")
+        out = pa.table({"doc_id": ids, "n_words": pa.array(total, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept": pa.array(kept, pa.binary()).cast(pa.string())})
+        if carry:
+            whole = in_order(group)
+            out = out.append_column("text", whole.column("text")).append_column("rest", whole.column("rest"))
+        return out
+
+    schema = "doc_id long, n_words long, n_removed long, kept string"
+    if carry:
+        schema += f", text string, rest {docs.schema['rest'].dataType.simpleString()}"
+    return docs.groupBy("block").cogroup(repeats(docs, n).groupBy("block")).applyInArrow(keep, schema)
+
+
+def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``df`` with repeated windows taken out of its texts; texts that lose nothing stay as they are."""
+    found = deduplicate(df, id_col, text_col, carry=True)
+    new = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
+    return found.select(*[new.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in df.columns])
 
 
 def op1_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
