@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from crossrank.llm.common import table
 
 #: Pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -118,8 +118,11 @@ class Codec:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.split = regex.compile(pattern).findall
-        self.listed = Remembered(lambda word: ",".join(map(str, merge(word.encode(), self.ranks))))
-        self.decoded = Remembered(lambda ids: b"".join(self.bytes_of[int(i)] for i in ids.split(",")))
+        self.known = Remembered(self._both)
+
+    def _both(self, word: str) -> tuple[str, bytes]:
+        ids = merge(word.encode(), self.ranks)
+        return ",".join(map(str, ids)), b"".join([self.bytes_of[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         return [i for word in self.split(text) for i in merge(word.encode(), self.ranks)]
@@ -129,8 +132,8 @@ class Codec:
 
     def round_trip(self, text: str) -> tuple[str, bytes]:
         """The ids as decimals joined by commas, and the bytes that these ids stand for."""
-        words = list(map(self.listed.__getitem__, self.split(text)))
-        return ",".join(words), b"".join(map(self.decoded.__getitem__, words))
+        words = list(map(self.known.__getitem__, self.split(text)))
+        return ",".join([w[0] for w in words]), b"".join([w[1] for w in words])
 
 
 @cache
