@@ -24,7 +24,7 @@ from crossrank.llm.common import fold, table
 from crossrank.llm.labelled import labelled
 
 #: Labelled rows learned from, at most; hash buckets; features kept; factors of a feature.
-LEARN_ROWS = 15_000
+LEARN_ROWS = 8_000
 BUCKETS, KEPT, FACTORS = 1 << 20, 1024, 8
 #: Bytes of the beginnings of words that are terms too.
 STEMS = (4, 5, 6, 7, 8)
@@ -96,15 +96,17 @@ class Model:
         return z
 
 
-def fit(rows: list[list[int]], y: np.ndarray) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray) -> Model:
     """Choose features by chi-squared, then learn by AdaGrad over shuffled mini-batches (seeded)."""
     share = (y.sum() + 0.5) / (len(y) + 1) if len(y) else 0.5
     none = Model(float(np.log(share / (1 - share))), np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)))
     if not len(y) or y.min() == y.max():
         return none
-    flat, sizes = np.fromiter((b for r in rows for b in r), np.int64), np.array([len(r) for r in rows])
-    label = np.repeat(y, sizes)
-    n, pos = np.bincount(flat, minlength=BUCKETS).astype(float), np.bincount(flat, label, BUCKETS)
+    n, pos = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for r, label in zip(rows, y.tolist(), strict=True):
+        n[r] += 1
+        if label:
+            pos[r] += 1
     expected = n * share
     with np.errstate(divide="ignore", invalid="ignore"):
         chi = np.where(n >= 3, (np.abs(pos - expected) - 0.5).clip(0) ** 2 / (expected * (1 - n / len(y)).clip(1e-3) * (1 - share)), 0.0)
@@ -112,8 +114,7 @@ def fit(rows: list[list[int]], y: np.ndarray) -> Model:
     kept = kept[chi[kept] > 6.6]
     where = np.full(BUCKETS, -1)
     where[kept] = np.arange(len(kept))
-    sets = [(a := where[r])[a >= 0] for r in map(np.array, ([*r] or [0] for r in rows))]
-    sets = [s if len(r) else s[:0] for s, r in zip(sets, rows, strict=True)]
+    sets = [(a := where[r])[a >= 0] for r in rows]
     rng = np.random.default_rng(7)
     m = Model(none.bias, kept, np.zeros(len(kept)), rng.normal(0, 0.02, (len(kept), FACTORS)))
     gw, gv, gb = np.full(len(kept), 1e-6), np.full(m.factors.shape, 1e-6), 1e-6
@@ -150,7 +151,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = LEARN_ROWS) -> Model:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("y"), pa.array(found, pa.binary())], ["doc_id", "y", "terms"])
 
     got = sorted(sample.select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, terms binary").collect())
-    return fit([np.frombuffer(r.terms, np.int32).tolist() for r in got], np.array([r.y for r in got], float))
+    return fit([np.frombuffer(r.terms, np.int32) for r in got], np.array([r.y for r in got], float))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
