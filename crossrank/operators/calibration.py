@@ -28,9 +28,9 @@ def _strip(pairs: DataFrame, keys: list[str], pos: str, values: dict[str, str],
     """
     rest = [c for c in pairs.columns if c not in keys]
     strips = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_at"), F.struct(*rest).alias("_row")))).alias("_s"))
+    column = lambda name: F.transform("_s", lambda r: r["_row"][name])
     for name, value in values.items():
-        xs = F.transform("_s", lambda r, v=value: r["_row"][v])
-        strips = strips.withColumn(name, scaled_log_softmax(xs, factor))
+        strips = strips.withColumn(name, scaled_log_softmax(column(value), factor))
     flat = strips.select(*keys, F.explode(F.arrays_zip(F.transform("_s", lambda r: r["_row"]).alias("r"), *values)).alias("_z"))
     return flat.select(*keys, *[F.col(f"_z.r.{c}").alias(c) for c in rest], *[F.col(f"_z.{n}").alias(n) for n in values])
 

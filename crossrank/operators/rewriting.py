@@ -77,9 +77,10 @@ def _sentence(s: str) -> str:
     return s if not s or s[-1] in ".!?" else s + "."
 
 
-def _leaks(text: str, terms: list[str], patterns: list[re.Pattern]) -> list[str]:
-    hit = [p.pattern for p in patterns if p.search(text)]
-    return hit + [t for t in terms if re.search(rf"\b{re.escape(t)}\w*\b", text, re.I)]
+def _leaks(text: str, terms: list[str], joint: re.Pattern, patterns: list[re.Pattern]) -> list[str]:
+    hit = [p.pattern for p in patterns if p.search(text)] if joint.search(text) else []
+    low = text.lower()
+    return hit + [t for t in terms if t in low and re.search(rf"\b{re.escape(t)}\w*\b", text, re.I)]
 
 
 def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, instructions: str = INSTRUCTIONS) -> DataFrame:
@@ -94,6 +95,7 @@ def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, in
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         patterns = [re.compile(p, re.I) for p in STATIC_PATTERNS]
+        joint = re.compile("|".join(f"(?:{p})" for p in STATIC_PATTERNS), re.I)
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
@@ -105,7 +107,7 @@ def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, in
                     reply = json.loads(rewriter(ask, row[6]))
                     text = _sentence(_line(reply.get(REWRITE) or ""))
                     enough = bool(reply.get("has_sufficient_morphology")) and len(text) >= REWRITE_CHARS
-                    hits = _leaks(text, own, patterns) if enough else []
+                    hits = _leaks(text, own, joint, patterns) if enough else []
                     if not enough or not hits:
                         break
                 out.append((*row[:5], not enough, text if enough else "", bool(hits), sorted(set(hits)), turn))
