@@ -9,11 +9,14 @@ and pruned so that only pairs that can reach the bound are multiplied:
 3. Of those left, shingles are ordered by how many blocks hold them, and any pair within the bound shares one
    of the first ``n - ceil(0.8 n) + 1`` of both (rarest) columns. Only these columns list their documents.
 4. Within a column the document with the least share of shingles of its own is the hub, and is multiplied with
-   the others; documents that came together need no product with each other. After ``HUB_ROUNDS`` hubs, all
-   pairs that are still apart are multiplied. A product runs over blocks of columns, adds up overlaps, and drops a
-   pair as soon as what remains cannot reach the bound that follows from the sizes.
+   the others; documents that come together this way need no product with each other.
+5. Columns whose documents are still apart chain these documents into clusters. A cluster is cut into tiles of
+   documents, and each pair of tiles is one task: a dense product over blocks of the columns that two of its
+   documents share adds up overlaps; pairs below the bound that follows from their sizes are discarded, and of
+   the links only those that bring components together leave the task.
 
-No step caps a list: each pair within the bound is either multiplied or already connected.
+No step caps a list: each pair within the bound is either multiplied or already connected. Products with hubs drop
+a pair as soon as what remains of the columns cannot reach the bound.
 
 Cases: a null text, or one without words, has an empty set and no links; with fewer words than a shingle the
 whole sequence is one; repeated rows fold; a null id takes no part in links and has a null component; rows with
@@ -35,9 +38,10 @@ from crossrank.llm.components import components
 SHINGLE = 5
 #: The bound, in hundredths.
 BOUND = 80
-HUB_ROUNDS = 4
-#: Blocks of columns in a product.
+#: Blocks of columns in a product with a hub.
 COLUMN_BLOCKS = 4
+#: Documents of a tile, fewer where sets are so large that a tile would hold more shingles; columns of a block.
+TILE_DOCS, TILE_SHINGLES, TILE_COLUMNS = 256, 4 << 20, 4096
 
 
 def shingles(words: list[bytes]) -> np.ndarray:
@@ -177,37 +181,72 @@ def multiply(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def product(group: pa.Table) -> pa.Table:
+    """Links of one pair of tiles that bring different components together."""
+    t, u = group.column("t")[0].as_py(), group.column("u")[0].as_py()
+    group = group.sort_by("doc_id")
+    tile, ids, comp = (group.column(c).to_numpy() for c in ("tile", "doc_id", "component"))
+    sets = [x.values.to_numpy() for x in group.column("shingles")]
+    rows, cols = np.flatnonzero(tile == t), np.flatnonzero(tile == u)
+    size = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    flat = np.concatenate(sets)
+    _, column, held = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = held[column] > 1  # a column of one document adds to no overlap
+    column = np.unique(column[shared], return_inverse=True)[1]
+    owner, count = owner[shared], int(column.max()) + 1 if shared.any() else 0
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    overlap = np.zeros((len(rows), len(cols)), np.float32)
+    for start in range(0, count, TILE_COLUMNS):
+        s, e = np.searchsorted(column, [start, start + TILE_COLUMNS])
+        block = np.zeros((len(sets), min(TILE_COLUMNS, count - start)), np.float32)
+        block[owner[s:e], column[s:e] - start] = 1
+        overlap += block[rows] @ block[cols].T
+    overlap = overlap.astype(np.int64)
+    ok = (100 * overlap >= BOUND * (size[rows][:, None] + size[cols][None] - overlap)) & (comp[rows][:, None] != comp[cols][None])
+    top: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while (p := top.get(c, c)) != c:
+            top[c] = top.get(p, p)
+            c = p
+        return c
+
+    a, b = [], []
+    for i, j in zip(*np.nonzero(ok)):
+        x, y = root(int(comp[rows[i]])), root(int(comp[cols[j]]))
+        if x != y:
+            top[max(x, y)] = min(x, y)
+            a.append(int(ids[rows[i]]))
+            b.append(int(ids[cols[j]]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
 def links(docs: DataFrame) -> DataFrame:
     """Links ``a, b`` between representatives that suffice for all components, from a written ``DOC`` table."""
     spark = docs.sparkSession
     sets = docs.filter(F.col("prefix").isNotNull()).select("doc_id", "shingles")
     lists = docs.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("column"), "doc_id", "n", (F.col("own") / F.col("n")).alias("alone"))
-    known = None
-    comp = None
-    for turn in range(HUB_ROUNDS + 1):
-        here = lists if comp is None else lists.join(comp, lists.doc_id == comp.node, "left").drop("node")
-        here = here.withColumn("component", F.col("doc_id") if comp is None else F.coalesce("component", "doc_id"))
-        apart = here.groupBy("column").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min(F.struct("alone", "doc_id", "n", "component")).alias("hub"))
-        apart = apart.filter("c0 < c1")
-        fits = (100 * F.least("n", "m") >= BOUND * F.greatest("n", "m")) & (F.col("component") != F.col("other"))
-        if turn < HUB_ROUNDS:
-            hubs = apart.select("column", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m"), F.col("hub.component").alias("other"))
-            pairs = here.join(hubs, "column").filter(fits).select("a", F.col("doc_id").alias("b"))
-        else:
-            left = here.join(apart.select("column"), "column", "left_semi")
-            again = left.select("column", F.col("doc_id").alias("a"), F.col("n").alias("m"), F.col("component").alias("other"))
-            pairs = left.join(again, "column").filter(fits & (F.col("a") < F.col("doc_id"))).select("a", F.col("doc_id").alias("b"))
-        pairs = written(spark, pairs.distinct(), "pairs")
-        if turn < HUB_ROUNDS:
-            # A hub has met all of its column; it leaves the list, and lists whose documents are together go.
-            lists = written(spark, here.join(hubs.select("column", "a"), "column").filter("doc_id <> a").select("column", "doc_id", "n", "alone"), "lists")
-        found = written(spark, multiply(pairs, sets), "links")
-        known = found if known is None else known.union(found)
-        if turn < HUB_ROUNDS:
-            if not lists.limit(1).count():
-                break
-            comp = components(known)
-    return known
+    hubs = lists.groupBy("column").agg(F.min(F.struct("alone", "doc_id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
+    hubs = hubs.select("column", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m"))
+    fits = (F.col("doc_id") != F.col("a")) & (100 * F.least("n", "m") >= BOUND * F.greatest("n", "m"))
+    pairs = written(spark, lists.join(hubs, "column").filter(fits).select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
+    near = written(spark, multiply(pairs, sets), "links")
+
+    comp = components(near)
+    here = lists.join(comp, lists.doc_id == comp.node, "left").select("column", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
+    apart = here.groupBy("column").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("doc_id").alias("first")).filter("c0 < c1")
+    left = written(spark, here.join(apart.select("column", "first"), "column").select("doc_id", "n", "component", "first").distinct(), "apart")
+    cluster = components(left.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
+    nodes = left.select("doc_id", "n", "component").distinct().join(cluster, "doc_id")
+    fit = F.greatest(F.lit(16), F.least(F.lit(TILE_DOCS), F.floor(TILE_SHINGLES / F.max("n"))))
+    tiles = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / fit).alias("tiles"))
+    dealt = nodes.join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
+    dealt = dealt.select("cluster", "doc_id", "component", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with"))
+    dealt = dealt.select("cluster", F.least("tile", "with").alias("t"), F.greatest("tile", "with").alias("u"), "tile", "doc_id", "component")
+    more = dealt.join(sets, "doc_id").groupBy("cluster", "t", "u").applyInArrow(product, "a long, b long")
+    return near.union(written(spark, more, "links"))
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
