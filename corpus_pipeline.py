@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crossrank.llm import jaccard, language, packing, pii, substrings
-from crossrank.llm.common import table, written
+from crossrank.llm.common import fresh, table, written
 
 
 def _measured(new: DataFrame) -> DataFrame:
@@ -20,7 +20,8 @@ def _measured(new: DataFrame) -> DataFrame:
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in no language: null texts and texts without a letter."""
-    return language.identify(docs).filter("lang_pred <> 'und'").select(*docs.columns)
+    label, score = fresh(docs, "lang_pred"), fresh(docs, "score")
+    return language.identify(docs, label, score).filter(F.col(label) != "und").select(*docs.columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

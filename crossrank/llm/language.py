@@ -44,7 +44,11 @@ def grams(codes: np.ndarray) -> np.ndarray:
 
 
 def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Codes of many texts, each followed by two blanks, in slices: codes, starts of segments, text of each segment."""
+    """Buckets of the n-grams of many texts, in slices: buckets by order, starts of segments, text of each segment.
+
+    Two blanks follow a text. The two places at the end of a segment start no n-gram of their own: there the next
+    text begins, or the overlap with the text's next slice. They have bucket -1.
+    """
     parts, starts, owner, size = [], [], [], 0
     for k, t in enumerate(texts):
         codes = np.frombuffer((t.lower() + "  ").encode("utf-32-le", "surrogatepass"), "<u4")
@@ -56,20 +60,26 @@ def slices(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarra
             owner.append(k)
             size += len(piece)
             if size >= SLICE:
-                yield np.concatenate(parts), np.array(starts), np.array(owner)
+                yield _segment_grams(parts, starts), np.array(starts), np.array(owner)
                 parts, starts, owner, size = [], [], [], 0
     if parts:
-        yield np.concatenate(parts), np.array(starts), np.array(owner)
+        yield _segment_grams(parts, starts), np.array(starts), np.array(owner)
+
+
+def _segment_grams(parts: list[np.ndarray], starts: list[int]) -> np.ndarray:
+    g = grams(np.concatenate([*parts, np.full(2, 32, parts[0].dtype)]))
+    ends = np.array([*starts[1:], g.shape[1]], np.int64)
+    g[:, np.concatenate([ends - 1, ends - 2])] = -1
+    return g
 
 
 def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
     """Sums of the log-probabilities of all n-grams: texts by languages."""
     out = np.zeros((len(texts), logs.shape[1]))
-    for codes, starts, owner in slices(texts):
-        padded = np.concatenate([codes, np.full(2, 32, codes.dtype)])
-        g = grams(padded)
+    logs = np.concatenate([logs, np.zeros((1, logs.shape[1]), logs.dtype)])  # what bucket -1 adds
+    for g, starts, owner in slices(texts):
         each = logs[g[0]] + logs[g[1]] + logs[g[2]]
-        np.add.at(out, owner, np.add.reduceat(each, starts, axis=0))
+        np.add.at(out, owner, np.add.reduceat(each, starts, axis=0, dtype=float))
     return out
 
 
@@ -89,8 +99,8 @@ def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> tu
         for chunk in group.column("text").chunks:
             texts = chunk.to_pylist()
             n += len(texts)
-            for codes, _, _ in slices(texts):
-                total += np.bincount(grams(np.concatenate([codes, np.full(2, 32, codes.dtype)])).ravel(), minlength=len(total))
+            for g, _, _ in slices(texts):
+                total += np.bincount(g.ravel() + 1, minlength=len(total) + 1)[1:]
         return pa.table({"lang": [group.column("lang")[0].as_py()], "n": [n], "counts": [total.tobytes()]})
 
     got = sorted(sample.groupBy("lang").applyInArrow(count, "lang string, n long, counts binary").collect(), key=lambda r: (-r.n, r.lang))[:MAX_LANGUAGES]
@@ -103,12 +113,12 @@ def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> tu
     return [r.lang for r in got], np.log(shares / shares.sum()), logs.astype(np.float32)
 
 
-def annotate(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """``df`` with ``lang_pred`` and ``score`` (in place of columns of these names); the score is the posterior."""
+def annotate(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarray, text_col: str = "text", label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
+    """``df`` with the language and its posterior in columns ``label_to`` and ``score_to``, in place of such columns."""
     model = df.sparkSession.sparkContext.broadcast((langs, shares, logs))
-    df = df.drop("lang_pred", "score")
-    at_text, names_out = df.columns.index(text_col), [*df.columns, "lang_pred", "score"]
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    df = df.drop(label_to, score_to)
+    at_text, names_out = df.columns.index(text_col), [*df.columns, label_to, score_to]
+    schema = T.StructType([*df.schema.fields, T.StructField(label_to, T.StringType()), T.StructField(score_to, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, prior, matrix = model.value
@@ -132,10 +142,10 @@ def annotate(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarr
 FOLDS, HELD_OUT = 3, 1
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
     """Languages of all documents, learned from the named languages outside the held-out fold."""
-    langs, shares, logs = learn(docs.filter(fold("doc_id", FOLDS) != HELD_OUT))
-    return annotate(docs, langs, shares, logs)
+    langs, shares, logs = learn(docs.select("doc_id", "text", "lang").filter(fold("doc_id", FOLDS) != HELD_OUT))
+    return annotate(docs, langs, shares, logs, "text", label_to, score_to)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossrank.llm.common import table
+from crossrank.llm.common import fresh, table
 
 #: The four base kinds in the order in which equal starts are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -32,7 +32,7 @@ PATTERNS = {
 }
 #: Words near a span that make its kind likelier.
 CONTEXT = {
-    "email": r"(?i)\b(?:e-?mail|contact|write|reach)",
+    "email": r"(?i)\b(?:e-?mail|mail|contact|write|reach)",
     "ip": r"(?i)\b(?:ip|host|server|address)\b",
     "card": r"(?i)\b(?:card|visa|credit|debit|payment)",
     "phone": r"(?i)\b(?:phone|call|tel|mobile|fax)",
@@ -133,6 +133,7 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
     """
     text = F.col(text_col)
     names = df.columns
+    own = fresh(df, "pii")
 
     def cover(acc: Column, s: Column) -> Column:
         """Overlapping spans become one; ``acc``: merged spans so far."""
@@ -141,14 +142,14 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
         fresh = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
         return F.when(last["end"] > s["start"], F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
 
-    merged = F.aggregate("_pii", F.array().cast("array<struct<start:int,kind:string,end:int>>"), cover)
+    merged = F.aggregate(own, F.array().cast("array<struct<start:int,kind:string,end:int>>"), cover)
     piece = lambda a, s: F.struct(
         s["end"].alias("at"), F.array_append(a["out"], F.concat(text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out")
     )
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate("_pii", zero, piece, lambda a: F.concat(F.array_join(a["out"], ""), text.substr(a["at"] + 1, F.length(text))))
-    marked = spans(df, text_col, "_pii").withColumn("_pii", merged)
-    return marked.withColumn(text_col, F.when(F.size("_pii") > 0, new).otherwise(text)).select(*names)
+    new = F.aggregate(own, zero, piece, lambda a: F.concat(F.array_join(a["out"], ""), text.substr(a["at"] + 1, F.length(text))))
+    marked = spans(df, text_col, own).withColumn(own, merged)
+    return marked.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).select(*names)
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

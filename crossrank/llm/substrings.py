@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
 from crossrank.llm.common import HASHES, table, windows
@@ -222,9 +223,10 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
             out = out.append_column("text", whole.column("text")).append_column("rest", whole.column("rest"))
         return out
 
-    schema = "doc_id long, n_words long, n_removed long, kept string"
+    longs = [T.StructField(c, T.LongType()) for c in ("doc_id", "n_words", "n_removed")]
+    schema = T.StructType([*longs, T.StructField("kept", T.StringType())])
     if carry:
-        schema += f", text string, rest {docs.schema['rest'].dataType.simpleString()}"
+        schema = schema.add("text", T.StringType()).add("rest", docs.schema["rest"].dataType)
     return docs.groupBy("block").cogroup(repeats(docs, n).groupBy("block")).applyInArrow(keep, schema)
 
 
