@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,27 +69,84 @@ def block_of(id_col: str, n: int) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n).cast("bigint")).cast("int")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words (bytes), remembered up to ``most`` words."""
+#: Bytes hashed at once, up to the next blank; longer words make longer pieces.
+PIECE = 1 << 19
+#: Odd multiplier of the word polynomial, and its inverse modulo 2^64.
+BASE = 0x5851F42D4C957F2D
+INVERSE = pow(BASE, -1, 1 << 64)
 
-    def __init__(self, most: int = 400_000) -> None:
-        super().__init__()
-        self.most = most
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_next_blank = re.compile(rb"[\x09-\x0d\x20]").search
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.most:
-            self[word] = h
-        return h
+@cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (BASE, INVERSE):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
+def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and 64-bit hashes of all words (runs without blanks) of a buffer, without a loop over words.
+
+    A word's polynomial is a difference of running sums over the buffer, shifted to the word's start.
+    """
+    starts, ends, hashes, at = [], [], [], 0
+    while at < len(raw):
+        end = at + PIECE
+        if end >= len(raw):
+            end = len(raw)
+        elif (m := _next_blank(raw, end)) is not None:
+            end = m.start()
+        else:
+            end = len(raw)
+        a = np.frombuffer(raw, np.uint8, end - at, at)
+        edge = np.diff(np.concatenate([[True], _BLANK[a], [True]]).astype(np.int8))
+        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        power, inverse = _powers(1 << max(19, (len(a)).bit_length()))
+        with np.errstate(over="ignore"):
+            c = np.zeros(len(a) + 1, np.uint64)
+            np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=c[1:])
+            hashes.append(mix((c[e] - c[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
+        starts.append(s + at)
+        ends.append(e + at)
+        at = end
+    if not starts:
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes)
+
+
+@dataclass
+class Words:
+    """The words of a block of texts: one buffer, and for each word its place, hash and text."""
+
+    raw: bytes
+    start: np.ndarray
+    end: np.ndarray
+    hash: np.ndarray
+    text: np.ndarray  # of each word
+    first: np.ndarray  # word at which each text begins; one more at the end
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.raw = b"\n".join(texts)
+        self.start, self.end, self.hash = word_hashes(self.raw)
+        begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.text = np.searchsorted(begin, self.start, "right") - 1
+        self.first = np.searchsorted(self.start, begin)
+
+    def joined(self, first: int, last: int) -> bytes:
+        """Words ``first`` to ``last`` (one past the end), with one blank between them."""
+        return b" ".join(self.raw[self.start[first] : self.end[last - 1]].split()) if last > first else b""
+
+    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of ``n`` consecutive words from each word, and which of them lie in one text."""
+        h = windows(self.hash, n)
+        return h, self.text[: len(h)] == self.text[len(self.text) - len(h) :] if len(h) else np.empty(0, bool)
 
-#: One cache for each Python worker; a worker serves many tasks.
-HASHES = WordHashes()
 
 #: Odd multiplier of the rolling polynomial (2^64 over the golden ratio, made odd).
 STEP = np.uint64(0x9E3779B97F4A7C15)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from crossrank.llm.blocks import MESSAGE, NO_ID, answers, ask, cuts, deal, documents, message_table, messages
-from crossrank.llm.common import HASHES, table, windows, written
+from crossrank.llm.common import Words, table, windows, written
 from crossrank.llm.components import components
 
 SHINGLE = 5
@@ -44,12 +44,6 @@ COLUMN_BLOCKS = 4
 TILE_DOCS, TILE_SHINGLES, TILE_COLUMNS = 256, 4 << 20, 4096
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a word sequence."""
-    h = HASHES.of(words)
-    return np.unique(windows(h, min(SHINGLE, len(h)))) if len(h) else np.empty(0, np.uint64)
-
-
 def _blocks_with(arrays: list[np.ndarray]) -> list[np.ndarray]:
     """For each value that a block sent: how many blocks sent it (255 at most)."""
     whole = np.concatenate(arrays)
@@ -61,30 +55,40 @@ CLASS = "digest binary, block long, least long"
 DOC = "doc_id long, rep long, n long, own long, shingles array<long>, prefix array<long>"
 
 
-def _first_of_class(texts: list[bytes], keys: np.ndarray) -> tuple[list[list[bytes]], list[bytes], dict[bytes, int]]:
+def _first_of_class(texts: list[bytes], keys: np.ndarray) -> tuple[Words, list[bytes], dict[bytes, int]]:
     """Words and digest of each text; the least id of each digest in this block."""
-    words = [t.lower().split() for t in texts]
-    digests = [xxhash.xxh3_128_digest(b" ".join(w)) for w in words]
+    w = Words([t.lower() for t in texts])
+    digests = [xxhash.xxh3_128_digest(w.joined(s, e)) for s, e in zip(w.first.tolist(), w.first[1:].tolist())]
     least: dict[bytes, int] = {}
     for d, k in zip(digests, keys.tolist(), strict=True):
         least[d] = min(k, least.get(d, NO_ID))
-    return words, digests, least
+    return w, digests, least
 
 
-def _heads(words: list[list[bytes]], digests: list[bytes], keys: np.ndarray, rep: dict[bytes, int]) -> list[int]:
+def _heads(w: Words, digests: list[bytes], keys: np.ndarray, rep: dict[bytes, int]) -> list[int]:
     """Texts that stand for their class and are long enough for a link with another class."""
     seen: set[bytes] = set()
     out = []
     for k, d in enumerate(digests):
-        if keys[k] == rep[d] != NO_ID and len(words[k]) >= SHINGLE and d not in seen:
+        if keys[k] == rep[d] != NO_ID and w.first[k + 1] - w.first[k] >= SHINGLE and d not in seen:
             seen.add(d)
             out.append(k)
     return out
 
 
-def _columns(words: list[list[bytes]], heads: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+def _sets(w: Words, texts: list[int]) -> list[np.ndarray]:
+    """Sorted hashes of the distinct shingles of the given texts; a shorter text is one shingle."""
+    h = windows(w.hash, SHINGLE)
+    out = []
+    for k in texts:
+        s, e = int(w.first[k]), int(w.first[k + 1])
+        out.append(np.unique(h[s : e - SHINGLE + 1]) if e - s >= SHINGLE else w.hash[s : min(e, s + 1)])
+    return out
+
+
+def _columns(w: Words, heads: list[int]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Shingles of each head, the distinct ones of all, each head's places among them, and heads that hold each."""
-    sets = [shingles(words[k]) for k in heads]
+    sets = _sets(w, heads)
     flat = np.concatenate(sets) if sets else np.empty(0, np.uint64)
     h, of, n = np.unique(flat, return_inverse=True, return_counts=True)
     return sets, h, of, n
@@ -106,21 +110,21 @@ def documents_with_sets(docs: DataFrame, n: int) -> DataFrame:
             return message_table([])
         block = key[0].as_py()
         _, keys, texts = documents(group)
-        words, digests, least = _first_of_class(texts, keys)
+        w, digests, least = _first_of_class(texts, keys)
         least |= elsewhere(got)
-        heads = _heads(words, digests, keys, least)
-        h = _columns(words, heads)[1]
+        heads = _heads(w, digests, keys, least)
+        h = _columns(w, heads)[1]
         moved = [(d, v) for d, v in elsewhere(got).items()]
         state = b"".join(d + v.to_bytes(8, "little", signed=True) for d, v in moved)
         return message_table([(-1 - block, block, state), *messages(block, cuts(h, n), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32))])
 
     def choose(key, group: pa.Table, got: pa.Table) -> pa.Table:
         ids, keys, texts = documents(group)
-        words, digests, least = _first_of_class(texts, keys)
+        w, digests, least = _first_of_class(texts, keys)
         state = next((d for b, d in zip(got.column("bucket").to_pylist(), got.column("data").to_pylist(), strict=True) if b < 0), b"")
         least |= {state[s : s + 16]: int.from_bytes(state[s + 16 : s + 24], "little", signed=True) for s in range(0, len(state), 24)}
-        heads = _heads(words, digests, keys, least)
-        sets, h, of, here = _columns(words, heads)
+        heads = _heads(w, digests, keys, least)
+        sets, h, of, here = _columns(w, heads)
         blocks = answers(got, len(h)) if group.num_rows else np.empty(0, np.uint8)
         shared = (blocks > 1) | (here > 1)
         size = [-1] * len(texts)
@@ -137,8 +141,11 @@ def documents_with_sets(docs: DataFrame, n: int) -> DataFrame:
                 order = order[mine[order]]
                 if len(order):
                     own[k], full[k], prefix[k] = len(s) - held, s.view(np.int64), s[order].view(np.int64)
-        size = [len(shingles(w)) if z < 0 else z for z, w in zip(size, words, strict=True)]
-        rep = [None if keys[k] == NO_ID else least[d] if words[k] else int(keys[k]) for k, d in enumerate(digests)]
+        rest = [k for k, z in enumerate(size) if z < 0]
+        for k, x in zip(rest, _sets(w, rest), strict=True):
+            size[k] = len(x)
+        filled = np.diff(w.first) > 0
+        rep = [None if keys[k] == NO_ID else least[d] if filled[k] else int(keys[k]) for k, d in enumerate(digests)]
         kind = pa.list_(pa.int64())
         return pa.table([ids, pa.array(rep, pa.int64()), pa.array(size, pa.int64()), pa.array(own, pa.int64()), pa.array(full, kind), pa.array(prefix, kind)], ["doc_id", "rep", "n", "own", "shingles", "prefix"])
 

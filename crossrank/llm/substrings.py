@@ -25,28 +25,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
-from crossrank.llm.common import HASHES, table, windows
+from crossrank.llm.common import Words, table, windows
 
 WINDOW, ANCHOR = 13, 8
 
 
-def _anchors(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of each text; minimizers of all windows; the text of each window; windows of each text."""
-    hashes, found, sizes = [], [], []
-    for t in texts:
-        h = HASHES.of(t.split())
-        hashes.append(h)
-        a = windows(h, ANCHOR)
-        k = max(0, len(h) - WINDOW + 1)
-        sizes.append(k)
-        if k:
-            low = a[:k].copy()
-            for i in range(1, WINDOW - ANCHOR + 1):
-                np.minimum(low, a[i : i + k], out=low)
-            found.append(low)
-    sizes = np.array(sizes, np.int64)
-    low = np.concatenate(found) if found else np.empty(0, np.uint64)
-    return hashes, low, np.repeat(np.arange(len(texts)), sizes), sizes
+def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Word at which each window starts, and the window's minimizer."""
+    whole = len(w.hash) - WINDOW + 1
+    if whole <= 0:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    a = windows(w.hash, ANCHOR)
+    low = a[:whole].copy()
+    for i in range(1, WINDOW - ANCHOR + 1):
+        np.minimum(low, a[i : i + whole], out=low)
+    at = np.flatnonzero(w.text[:whole] == w.text[WINDOW - 1 :])
+    return at, low[at]
 
 
 def _low(h: np.ndarray) -> np.ndarray:
@@ -83,41 +77,36 @@ def _breaks(arrays: list[np.ndarray]) -> list[np.ndarray]:
 
 
 NODE = np.dtype([("node", "<u4"), ("before", "<u4"), ("after", "<u4")])
-#: A candidate walk: text within its block, first and last window.
-WALK = np.dtype([("text", "<i4"), ("first", "<i4"), ("last", "<i4")])
-
-
-def _walks(mask: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Maximal runs of candidate windows of one text."""
-    base = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-    at = np.flatnonzero(mask)
-    if not len(at):
-        return np.empty(0, WALK)
-    new = np.concatenate([[True], (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])])
-    first = at[new]
-    last = at[np.concatenate([new[1:], [True]])]
-    out = np.empty(len(first), WALK)
-    out["text"] = owner[first]
-    out["first"], out["last"] = first - base[owner[first]], last - base[owner[first]]
+#: A candidate walk: the words (within its block) at which its first and last window start.
+WALK = np.dtype([("first", "<i4"), ("last", "<i4")])
+
+
+def _walks(at: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Maximal runs of candidate windows of one text; ``at``: words at which candidates start."""
+    new = np.ones(len(at), bool)
+    new[1:] = (np.diff(at) != 1) | (text[at[1:]] != text[at[:-1]])
+    out = np.empty(int(new.sum()), WALK)
+    out["first"], out["last"] = at[new], at[np.append(new[1:], True)[: len(at)]]
     return out
 
 
-def _nodes(hashes: list[np.ndarray], walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, edge before and edge after of each node of each walk (0: none)."""
-    node, before, after, k = [np.empty(0, np.uint64)], [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], -1
-    for text, first, last in walks.tolist():
-        if text != k:
-            k, whole, edges = text, windows(hashes[text], WINDOW - 1), _low(windows(hashes[text], WINDOW)) | np.uint32(1)
-        e = edges[first : last + 1]
-        node.append(whole[first : last + 2])
-        before.append(np.concatenate([[np.uint32(0)], e]))
-        after.append(np.concatenate([e, [np.uint32(0)]]))
-    return np.concatenate(node), np.concatenate(before), np.concatenate(after)
+def _nodes(w: Words, walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, edge before and edge after (0: none) of each node of each walk, walk after walk."""
+    if not len(walks):
+        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
+    edges = np.append(_low(windows(w.hash, WINDOW)) | np.uint32(1), np.uint32(0))
+    size = (walks["last"] - walks["first"] + 2).astype(np.int64)
+    ends = np.cumsum(size)
+    at = np.arange(ends[-1]) + np.repeat(walks["first"] - (ends - size), size)
+    before, after = edges[at - 1], edges[np.minimum(at, len(edges) - 1)]
+    before[ends - size] = 0
+    after[ends - 1] = 0
+    return windows(w.hash, WINDOW - 1)[at], before, after
 
 
-def _entries(hashes: list[np.ndarray], walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _entries(w: Words, walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct entries of a block sorted by node, the nodes' hashes, and the entry of each node of each walk."""
-    node, before, after = _nodes(hashes, walks)
+    node, before, after = _nodes(w, walks)
     order = np.lexsort((after, before, node))
     n, b, a = node[order], before[order], after[order]
     new = np.ones(len(n), bool)
@@ -139,45 +128,45 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
 
     def anchors(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        _, low, _, _ = _anchors(documents(group)[2])
-        h = np.unique(low)
+        h = np.unique(_anchors(Words(documents(group)[2]))[1])
         return message_table(messages(block, cuts(h, n), _low(h)))
 
     def nodes(key, group: pa.Table, got: pa.Table) -> pa.Table:
         if not group.num_rows:
             return message_table([])
-        _, keys, texts = documents(group)
-        hashes, low, owner, sizes = _anchors(texts)
+        w = Words(documents(group)[2])
+        at, low = _anchors(w)
         h, of = np.unique(low, return_inverse=True)
         # An anchor in two documents of this block is a candidate whatever the other blocks hold.
+        text = w.text[at]
         least, most = np.full(len(h), np.iinfo(np.int64).max), np.full(len(h), -1)
-        np.minimum.at(least, of, owner)
-        np.maximum.at(most, of, owner)
+        np.minimum.at(least, of, text)
+        np.maximum.at(most, of, text)
         shared = (answers(got, len(h)) > 0) | (least != most)
-        walks = _walks(shared[of], owner, sizes)
-        data, full, _ = _entries(hashes, walks)
+        walks = _walks(at[shared[of]], w.text)
+        data, full, _ = _entries(w, walks)
         return message_table([(-1 - key[0].as_py(), key[0].as_py(), walks.tobytes()), *messages(key[0].as_py(), cuts(full, n), data)])
 
     def paths(key, group: pa.Table, got: pa.Table) -> pa.Table:
         out: dict[bytes, list] = {}
         if group.num_rows:
             _, keys, texts = documents(group)
+            w = Words(texts)
             walks = np.frombuffer(kept_state(got), WALK)
-            used = set(walks["text"].tolist())
-            words = [t.split() if k in used else [] for k, t in enumerate(texts)]
-            hashes = [HASHES.of(w) for w in words]
-            data, _, entry = _entries(hashes, walks)
+            data, _, entry = _entries(w, walks)
             cut = answers(got, len(data))[entry] > 0
             at = 0
-            for text, first, last in walks.tolist():
+            for first, last in walks.tolist():
                 edges = last - first + 1
                 inner = np.flatnonzero(cut[at + 1 : at + edges]) + 1
                 ends = [0, *inner.tolist(), edges]
                 at += edges + 1
+                text = int(w.text[first])
+                words = w.raw[w.start[first] : w.end[last + WINDOW - 1]].split()
+                begin, key_of = first - int(w.first[text]), int(keys[text])
                 for s, e in zip(ends, ends[1:]):
-                    w = words[text][first + s : first + e + WINDOW - 1]
-                    digest = xxhash.xxh3_128_digest(b" ".join(w))
-                    out.setdefault(digest, []).append((int(keys[text]), text, first + s, len(w)))
+                    path = words[s : e + WINDOW - 1]
+                    out.setdefault(xxhash.xxh3_128_digest(b" ".join(path)), []).append((key_of, text, begin + s, len(path)))
         places = [np.array(p, PLACE) for p in out.values()]
         return pa.table({"digest": pa.array(list(out), pa.binary()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "least": pa.array([int(p["id"].min()) for p in places], pa.int64()), "places": pa.array([p.tobytes() for p in places], pa.binary())})
 
