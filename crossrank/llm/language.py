@@ -86,12 +86,18 @@ def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
 def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Languages, their log-shares and the log-probability matrix, from ``doc_id, text, lang``.
 
-    The rows of each language with the least hash of their id are chosen before any text is read.
+    The rows of each language with the least hash of their id are chosen before any text is read. A language's
+    count tells below which hash about twice as many lie, so few rows of even the commonest one are ranked.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(seed_col), seed_col)
+    spark = df.sparkSession
     named = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(seed_col).isNotNull())
-    chosen = named.select(seed_col, "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).select(seed_col).distinct()
-    sample = named.join(F.broadcast(chosen), seed_col, "left_semi").select("lang", "text")
+    draw = F.xxhash64(seed_col).cast("double") / 2.0**64 + 0.5
+    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    limits = spark.createDataFrame([(r.lang, min(1.0, 2.0 * rows / r["count"]) if r["count"] > 4 * rows else 1.0) for r in sizes], "lang string, upto double")
+    order = Window.partitionBy("lang").orderBy("draw", seed_col)
+    drawn = named.select(seed_col, "lang", draw.alias("draw")).join(F.broadcast(limits), "lang").filter("draw <= upto")
+    chosen = drawn.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).select(seed_col).distinct()
+    sample = named.join(F.broadcast(limits), "lang", "left_semi").join(F.broadcast(chosen), seed_col, "left_semi").select("lang", "text")
 
     def count(group: pa.Table) -> pa.Table:
         total = np.zeros(BUCKETS * len(ORDERS))
