@@ -678,6 +678,48 @@ def q_crop_scale(s, d):
     return _coords(s, d).select("slide_id", r6(px).alias("px"), r6(py).alias("py")).crossJoin(box.select("c0"))  # one row
 
 
+@query("SELECT doc_id, CAST(20.0 + doc_id % 21 AS DOUBLE) AS app_mag, CAST(0.25 AS DOUBLE) AS mpp, CAST(round(224 * 0.25, 6) + 0.0 AS DOUBLE) AS patch_um, round(224 * 0.25 / (0.25 * (20.0 + doc_id % 21) / 20.0), 6) + 0.0 AS px_20x FROM documents")
+def q_footprint(s, d):
+    mag = (F.lit(20) + F.col("doc_id") % 21).cast("double")
+    got = fixtures.read(s, d, "documents").select("doc_id", spatial.slide_metadata(F.concat(F.lit("Scan 1|AppMag = "), mag.cast("string"), F.lit("|MPP = 0.25|x"))).alias("m")).select("doc_id", "m.*")
+    f = spatial.footprint(F.lit(224), F.col("mpp"), F.col("app_mag"))
+    return got.select("doc_id", "app_mag", "mpp", r6(f["patch_um"]).alias("patch_um"), r6(f["px_20x"]).alias("px_20x"))
+
+
+@query(f"WITH {_XY} SELECT CAST(count_if(NOT (x / 16.0 - 20 BETWEEN -1 AND 214 AND y / 16.0 - 1 BETWEEN -1 AND 214)) AS BIGINT) AS n_outside, count(*) AS n_points FROM xy")
+def q_inside_crop(s, d):
+    px, py = spatial.to_crop(F.col("x"), F.col("y"), F.lit(16.0), F.lit(16.0), F.lit(20), F.lit(1))
+    return spatial.check_inside(_coords(s, d).select(px.alias("px"), py.alias("py")), F.lit(200), F.lit(200), F.lit(14), F.lit(14))
+
+
+@query("SELECT doc_id, doc_id % 2 = 0 AS enough, 'text ' || doc_id AS text FROM documents")
+def q_parsed_reply(s, d):
+    reply = F.to_json(F.struct((F.col("doc_id") % 2 == 0).alias("has_sufficient_morphology"), F.concat(F.lit("text "), F.col("doc_id").cast("string")).alias(cohort.REWRITE)))
+    got = fixtures.read(s, d, "documents").select("doc_id", rewriting.parsed_reply(reply).alias("r"))
+    return got.select("doc_id", F.col("r.has_sufficient_morphology").alias("enough"), F.col(f"r.{cohort.REWRITE}").alias("text"))
+
+
+@query(f"WITH {sql.TEXTS} SELECT slide_id FROM rt WHERE slide_reports IS NOT NULL AND trim(regexp_replace(slide_reports, '\\s+', ' ', 'g')) <> ''")
+def q_with_source(s, d):
+    return cohort.with_source(fixtures.reports_text(s, d)).select("slide_id")
+
+
+@query(f"WITH {sql.TEXTS} SELECT slide_id, excluded_insufficient_source FROM au WHERE slide_id NOT IN (SELECT slide_id FROM rt WHERE slide_id IN (SELECT slide_id FROM li))")
+def q_kept_audit(s, d):
+    mine = cohort.universe(fixtures.reports_text(s, d), fixtures.ids(s, d))
+    return cohort.kept_audit(fixtures.audit(s, d), mine, overwrite=True).select("slide_id", "excluded_insufficient_source")
+
+
+@query(f"WITH {sql.VECTORS}, {sql.SLIDES} SELECT slide_id, slide_id AS gallery_pos, case_id, split, oncotree, project FROM slides WHERE split IN ('train', 'test')")
+def q_split_filter(s, d):
+    return fixtures.slides(s, d).filter(F.col("split").isin("train", "test"))
+
+
+@query(f"WITH {sql.pairs(BOTH)} SELECT backbone, scenario, 'T2I' AS direction, report_id AS query_id, slide_id AS cand_id, round(s_g, 6) + 0.0 AS s_g FROM pairs")
+def q_directions(s, d):
+    return fixtures.both_ways(s, d, backbones=BOTH).filter("direction = 'T2I'").select(*COND, "query_id", "cand_id", r6("s_g").alias("s_g"))
+
+
 # --- sources and sinks
 
 
