@@ -60,6 +60,40 @@ def read_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return read_arrays(spark, folder).filter("patch_idx = 0").select("slide_id", unit(as_doubles(F.col("emb"))).alias("emb"))
 
 
+def read_pool_npz(spark: SparkSession, path: str, allow_pickle: bool = False) -> DataFrame:
+    """``slide_id, mean_pool, max_pool`` of one ``.npz`` pool cache; ids kept as objects need ``allow_pickle``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column(0).to_pylist():
+                z = np.load(BytesIO(content), allow_pickle=allow_pickle)
+                ids, mean, most = z["case_ids"], z["mean_pool"], z["max_pool"]
+                for s in range(0, len(ids), 4096):
+                    kind = pa.list_(pa.float32())
+                    yield pa.RecordBatch.from_arrays([pa.array([str(i) for i in ids[s : s + 4096]]), pa.array(list(mean[s : s + 4096].astype(np.float32)), kind), pa.array(list(most[s : s + 4096].astype(np.float32)), kind)], ["slide_id", "mean_pool", "max_pool"])
+
+    raw = spark.read.format("binaryFile").load(path).select("content")
+    return raw.mapInArrow(run, "slide_id string, mean_pool array<float>, max_pool array<float>")
+
+
+def read_bank_npz(spark: SparkSession, folder: str) -> DataFrame:
+    """Banks of a folder of ``<slide>_prototype.npz`` files: a row for each prototype, with the bank's figures."""
+    figures = ("K_star", "coverage", "support", "utility", "q_proto", "n_patches")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                z = np.load(BytesIO(content), allow_pickle=False)
+                x = z["prototypes"].astype(float)
+                one = [float(np.ravel(z[f])[0]) for f in figures]
+                rest = [pa.array([v if v == v else None] * len(x), pa.float64()) for v in one]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(x)), pa.array(range(len(x)), pa.int32()), pa.array(list(x), pa.list_(pa.float64())), *rest], ["slide_id", "h", "emb", *(f.lower() for f in figures)])
+
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*_prototype.npz").load(folder)
+    named = raw.select(F.regexp_extract("path", r"([^/]+)_prototype\.npz$", 1).alias("slide_id"), "content")
+    return named.mapInArrow(run, "slide_id string, h int, emb array<double>, " + ", ".join(f"{f.lower()} double" for f in figures))
+
+
 def write_pool_cache(pooled: DataFrame, path: str, overwrite: bool = False) -> None:
     """Pooled vectors as floats; an existing cache stays unless it is to be overwritten."""
     out = pooled.select("slide_id", F.col("mean_pool").cast("array<float>").alias("mean_pool"), F.col("max_pool").cast("array<float>").alias("max_pool"))
@@ -68,7 +102,8 @@ def write_pool_cache(pooled: DataFrame, path: str, overwrite: bool = False) -> N
 
 def read_pool_cache(spark: SparkSession, path: str, cases: DataFrame, renormalise: bool = True) -> DataFrame:
     """Mean-pooled vectors of the given cases as doubles; columns that are not asked for are not read."""
-    cache = spark.read.parquet(path).select("slide_id", as_doubles(F.col("mean_pool")).alias("emb")).join(cases, "slide_id")
+    table = read_pool_npz(spark, path) if path.endswith(".npz") else spark.read.parquet(path)
+    cache = table.select("slide_id", as_doubles(F.col("mean_pool")).alias("emb")).join(cases, "slide_id")
     return cache.withColumn("emb", unit(F.col("emb"))) if renormalise else cache
 
 
