@@ -236,7 +236,8 @@ def links(docs: DataFrame) -> DataFrame:
     sets = docs.filter(F.col("prefix").isNotNull()).select("doc_id", "shingles")
     lists = docs.filter(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("column"), "doc_id", "n", (F.col("own") / F.col("n")).alias("alone"))
     hubs = lists.groupBy("column").agg(F.min(F.struct("alone", "doc_id", "n")).alias("hub"), F.count("*").alias("c")).filter("c > 1")
-    hubs = hubs.select("column", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m"))
+    # Written, so that the join below is between two exchanges and Spark can split a column with many documents.
+    hubs = written(spark, hubs.select("column", F.col("hub.doc_id").alias("a"), F.col("hub.n").alias("m")), "hubs")
     fits = (F.col("doc_id") != F.col("a")) & (100 * F.least("n", "m") >= BOUND * F.greatest("n", "m"))
     pairs = written(spark, lists.join(hubs, "column").filter(fits).select("a", F.col("doc_id").alias("b")).distinct(), "pairs")
     near = written(spark, multiply(pairs, sets), "links")
@@ -244,7 +245,8 @@ def links(docs: DataFrame) -> DataFrame:
     comp = components(near)
     here = lists.join(comp, lists.doc_id == comp.node, "left").select("column", "doc_id", "n", F.coalesce("component", "doc_id").alias("component"))
     apart = here.groupBy("column").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("doc_id").alias("first")).filter("c0 < c1")
-    left = written(spark, here.join(apart.select("column", "first"), "column").select("doc_id", "n", "component", "first").distinct(), "apart")
+    apart = written(spark, apart.select("column", "first"), "columns")
+    left = written(spark, here.join(apart, "column").select("doc_id", "n", "component", "first").distinct(), "apart")
     cluster = components(left.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
     nodes = left.select("doc_id", "n", "component").distinct().join(cluster, "doc_id")
     fit = F.greatest(F.lit(16), F.least(F.lit(TILE_DOCS), F.floor(TILE_SHINGLES / F.max("n"))))
