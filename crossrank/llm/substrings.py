@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
-from crossrank.llm.common import Words, table, windows
+from crossrank.llm.common import Words, table, windows, written
 
 WINDOW, ANCHOR = 13, 8
 
@@ -124,7 +124,11 @@ PLACE = np.dtype([("id", "<i8"), ("text", "<i4"), ("first", "<i4"), ("words", "<
 
 
 def repeats(docs: DataFrame, n: int) -> DataFrame:
-    """Places that lose their words, for each block: ``block, places``."""
+    """Paths of each block that lose words: ``block, digest, first, places``, with the least id that holds the path.
+
+    A path with several places in a block has a row with them and the block's own least id, and, where another
+    block has a smaller one, a row with that and no places.
+    """
 
     def anchors(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
@@ -174,9 +178,14 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
     marked = ask(by_block.applyInArrow(anchors, MESSAGE), _elsewhere, "<u4")
     broken = ask(by_block.cogroup(marked.groupBy("block")).applyInArrow(nodes, MESSAGE), _breaks, NODE.descr)
     found = by_block.cogroup(broken.groupBy("block")).applyInArrow(paths, PATH)
-    # A path has one row for each block that holds it, so no digest gathers more rows than there are blocks.
-    first = found.withColumn("first", F.min("least").over(Window.partitionBy("digest")))
-    return first.filter((F.col("first") < F.col("least")) | (F.octet_length("places") > PLACE.itemsize)).select("block", "first", "places")
+    found = written(docs.sparkSession, found, "paths")
+    # Paths are ranked with one place at most: a row for each block that holds one, however many documents do.
+    # Paths with more places in a block stay with it, and get back a smaller id only where another block has one.
+    single = F.octet_length("places") == PLACE.itemsize
+    slim = found.select("digest", "block", "least", F.when(single, F.col("places")).alias("places"))
+    first = slim.withColumn("first", F.min("least").over(Window.partitionBy("digest")))
+    moved = first.filter("first < least").select("block", "digest", "first", "places")
+    return found.filter(~single).select("block", "digest", F.col("least").alias("first"), "places").unionByName(moved)
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
@@ -189,8 +198,11 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     def keep(key, group: pa.Table, got: pa.Table) -> pa.Table:
         ids, keys, texts = documents(group)
         lost: dict[int, list[tuple[int, int]]] = {}
-        for first, raw in zip(got.column("first").to_pylist(), got.column("places").to_pylist(), strict=True):
-            for i, text, at, words in np.frombuffer(raw, PLACE).tolist():
+        rows = list(zip(got.column("digest").to_pylist(), got.column("first").to_pylist(), got.column("places").to_pylist(), strict=True))
+        smaller = {d: f for d, f, raw in rows if raw is None}
+        for digest, first, raw in rows:
+            first = smaller.get(digest, first)
+            for i, text, at, words in np.frombuffer(raw or b"", PLACE).tolist():
                 if i > first:
                     lost.setdefault(text, []).append((at, at + words))
         total, removed, kept = [], [], []
