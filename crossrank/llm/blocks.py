@@ -20,6 +20,9 @@ from crossrank.llm.common import block_of
 
 #: Text bytes of a block, and blocks that smaller inputs are dealt into as far as each has LEAST_BYTES.
 BLOCK_BYTES, SPREAD, LEAST_BYTES = 4 << 20, 64, 256 << 10
+#: Messages number blocks times buckets. So beyond so many blocks their size grows with the input, up to the
+#: largest that a task should hold several times over.
+MANY_BLOCKS, MOST_BYTES = 1 << 17, 512 << 20
 #: A null id sorts after all others.
 NO_ID = np.iinfo(np.int64).max
 
@@ -31,7 +34,8 @@ def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tupl
     rest = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest")] if carry else []
     small = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     total = int(small.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    n = max(1, -(-total // BLOCK_BYTES), min(SPREAD, total // LEAST_BYTES))
+    size = min(MOST_BYTES, max(BLOCK_BYTES, total // MANY_BLOCKS))
+    n = max(1, -(-total // size), min(SPREAD, total // LEAST_BYTES))
     return small.withColumn("block", block_of("doc_id", n).cast("long")), n
 
 
