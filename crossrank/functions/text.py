@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crossrank.functions.vectors import bind
+
 #: White space by Unicode, with the four separators that Python also strips; spelled out, as engines differ.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Least length of a useful text, of a useful rewrite, of a dynamic term; terms named in a retry.
@@ -87,12 +91,21 @@ def dynamic_terms(*metadata: Column) -> Column:
     return F.array_sort(F.array_except(kept, F.array(*map(F.lit, STOPWORDS))))
 
 
+#: Characters that match an ASCII letter when case does not count, and these letters.
+FOLDED = ("\u0130\u0131\u017f\u212a", "iisk")
+
+
+def literal(pattern: str) -> str:
+    """The longest plain text that every match of a static pattern holds, whatever its case."""
+    plain = re.sub(r"\([^()]*\)[?*+]?|\[[^\]]*\][?*+]?|\\\w(\{[^}]*\}|[?*+])?", "\0", pattern)
+    return max(re.sub(r".[?*]", "\0", plain).split("\0"), key=len)
+
+
 def static_hits(text: Column) -> Column:
-    """Static patterns that match, in their order; one joint pattern spares clean texts the single ones."""
+    """Static patterns that match, in their order; a pattern is tried where its plain part occurs."""
     text = F.coalesce(text, F.lit(""))
-    each = F.array(*[F.when(text.rlike(_FLAGS + p), F.lit(p)) for p in STATIC_PATTERNS])
-    joint = _FLAGS + "(?:" + "|".join(STATIC_PATTERNS) + ")"
-    return F.when(text.rlike(joint), F.array_compact(each)).otherwise(F.array().cast("array<string>"))
+    hit = lambda low, p: F.when(low.contains(literal(p)) & text.rlike(_FLAGS + p), F.lit(p))
+    return bind(F.lower(F.translate(text, *FOLDED)), lambda low: F.array_compact(F.array(*[hit(low, p) for p in STATIC_PATTERNS])))
 
 
 def dynamic_hits(text: Column, terms: Column) -> Column:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossrank.functions.text import INSTRUCTIONS, RETRY_TERMS, REWRITE_CHARS, STATIC_PATTERNS, dynamic_terms, leakage, one_paragraph, payload
+from crossrank.functions.text import FOLDED, INSTRUCTIONS, RETRY_TERMS, REWRITE_CHARS, STATIC_PATTERNS, dynamic_terms, leakage, literal, one_paragraph, payload
 from crossrank.operators.cohort import REWRITE, SOURCE
 
 Rewriter = Callable[[str, str], str]
@@ -77,9 +77,12 @@ def _sentence(s: str) -> str:
     return s if not s or s[-1] in ".!?" else s + "."
 
 
-def _leaks(text: str, terms: list[str], joint: re.Pattern, patterns: list[re.Pattern]) -> list[str]:
-    hit = [p.pattern for p in patterns if p.search(text)] if joint.search(text) else []
-    low = text.lower()
+_FOLD = str.maketrans(*FOLDED)
+
+
+def _leaks(text: str, terms: list[str], patterns: list[tuple[str, re.Pattern]]) -> list[str]:
+    low = text.translate(_FOLD).lower()
+    hit = [p.pattern for plain, p in patterns if plain in low and p.search(text)]
     return hit + [t for t in terms if t in low and re.search(rf"\b{re.escape(t)}\w*\b", text, re.I)]
 
 
@@ -94,8 +97,7 @@ def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, in
     ready = ready.select("slide_id", F.col("case_id").cast("string"), F.col("project_id").cast("string"), F.col(SOURCE).alias("original_slide_reports"), "removed_terms", "_terms", payload(F.col(SOURCE)).alias("_payload"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [re.compile(p, re.I) for p in STATIC_PATTERNS]
-        joint = re.compile("|".join(f"(?:{p})" for p in STATIC_PATTERNS), re.I)
+        patterns = [(literal(p), re.compile(p, re.I)) for p in STATIC_PATTERNS]
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
@@ -107,7 +109,7 @@ def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, in
                     reply = json.loads(rewriter(ask, row[6]))
                     text = _sentence(_line(reply.get(REWRITE) or ""))
                     enough = bool(reply.get("has_sufficient_morphology")) and len(text) >= REWRITE_CHARS
-                    hits = _leaks(text, own, joint, patterns) if enough else []
+                    hits = _leaks(text, own, patterns) if enough else []
                     if not enough or not hits:
                         break
                 out.append((*row[:5], not enough, text if enough else "", bool(hits), sorted(set(hits)), turn))

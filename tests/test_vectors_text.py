@@ -58,12 +58,12 @@ POSITIVE = (
 
 
 def test_static_patterns_equal_python(spark):
-    texts = [POSITIVE, "Quiet text about cells.", "Überer Befund", "er", "therapy", "high grade", "5 mm"]
+    texts = [POSITIVE, POSITIVE.upper(), "\u017fite of or\u0131gin, \u212ai-67, GRO\u017f\u017f, S\u0130TE of origin", "Quiet text about cells.", "Überer Befund", "er", "therapy", "high grade", "5 mm"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r.i: r.h for r in df.select("i", tx.static_hits(F.col("t")).alias("h")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == [p for p in tx.STATIC_PATTERNS if re.search(p, t, re.I)]
-    assert len(got[0]) > 35 and len(tx.STATIC_PATTERNS) == 92 and len(tx.STOPWORDS) == 35
+    assert len(got[0]) > 35 and got[1] == got[0] and len(got[2]) > 2 and len(tx.STATIC_PATTERNS) == 92 and len(tx.STOPWORDS) == 35
 
 
 def test_dynamic_terms_are_prefixes(spark):
@@ -71,3 +71,7 @@ def test_dynamic_terms_are_prefixes(spark):
     r = df.select(tx.dynamic_terms(F.col("a"), F.col("b")).alias("d"), "t").select("d", tx.dynamic_hits(F.col("t"), F.col("d")).alias("h"), tx.retry_prompt(F.concat("d", "d")).alias("p")).first()
     assert r.d == ["breast", "carcinoma", "ductal"] == r.h
     assert "breast, carcinoma, ductal." in r.p
+
+
+def test_plain_parts_of_patterns():
+    assert [tx.literal(p) for p in (r"\bfavor(s|ing)?\b", r"\bhbme1?\b", r"\bcd\d{1,3}\b", r"\bsite of origin\b", r"\bki[\s-]?67\b", r"\b\d+(\.\d+)?\s*(cm|mm)\b")] == ["favor", "hbme", "cd", "site of origin", "ki", ""]
