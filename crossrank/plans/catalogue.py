@@ -525,6 +525,11 @@ def q_ensure_period(s, d):
     return fixtures.reports_text(s, d).select("slide_id", tx.ensure_period(line.substr(F.lit(1), (F.col("slide_id") % 50 + 1).cast("int"))).alias("sentence"))
 
 
+@query(f"WITH {sql.TEXTS}, l AS (SELECT slide_id, {sql.one_paragraph('slide_reports')} AS x FROM rt) SELECT slide_id, {sql.ensure_period('x')} AS sentence FROM l")
+def q_ensure_period_whole(s, d):
+    return fixtures.reports_text(s, d).select("slide_id", tx.ensure_period(tx.one_paragraph(F.col("slide_reports"))).alias("sentence"))
+
+
 @query(f"WITH {sql.TEXTS} SELECT slide_id, slide_reports_no_diagnosis_strict IS NOT NULL AND length({sql.one_paragraph('slide_reports_no_diagnosis_strict')}) >= 15 AS useful FROM rt")
 def q_useful_text(s, d):
     return fixtures.reports_text(s, d).select("slide_id", tx.useful(F.col("slide_reports_no_diagnosis_strict")).alias("useful"))

@@ -1,5 +1,11 @@
 """Queries take every row of their tables."""
 
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from crossrank.functions import text as tx
 from crossrank.plans import catalogue, fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -15,3 +21,16 @@ def test_each_vector_is_a_pixel(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/embeddings.parquet")
     got = catalogue._pixels(spark, str(tmp_path)).select("y", "x").collect()
     assert sorted(100 * r.y + r.x for r in got) == sorted(r.vec_id for r in rows.select("vec_id").collect())
+
+
+def test_sentences_are_whole_texts(spark):
+    texts = {r.doc_id: re.sub(r"\s+", "", r.text) for r in fixtures.read(spark, DATA, "documents").select("doc_id", "text").collect()}
+    got = {r.slide_id: re.sub(r"\s+", "", r.sentence) for r in catalogue.QUERIES["q_ensure_period_whole"](spark, DATA).collect()}
+    assert got == {i: t if not t or t[-1] in ".!?" else t + "." for i, t in texts.items()}
+    assert sum(len(t) > 50 for t in got.values()) > len(got) / 2
+
+
+@pytest.mark.parametrize(("text", "end"), [("a b", "b."), ("a b. ", "b."), ("a b?\n", "b?"), ("a b!\t\r\n", "b!"), ("a b,", "b,."), ("a b.)", "b.)."), (" \n ", "")])
+def test_endings(spark, text, end):
+    got = spark.createDataFrame([(text,)], "t string").select(tx.ensure_period(tx.one_paragraph(F.col("t")))).first()[0]
+    assert got == ("a " + end if end else "")
