@@ -185,24 +185,35 @@ def q_near_best_k(s, d):
     return prototypes.near_best(_bank_stats(s, d)).select("slide_id", "k", r6("q_proto").alias("q_proto"))
 
 
-@query(_dims_sql(_FIXED + f""",
-w AS (SELECT a.slide_id, a.k, a.h, vec_id, u, exp(list_dot_product(u, p) / 0.05 - max(list_dot_product(u, p) / 0.05) OVER (PARTITION BY a.slide_id, a.k, a.h)) AS w FROM a JOIN pr ON a.slide_id = pr.slide_id AND a.k = pr.k AND a.h = pr.h WHERE a.k <= 4),
+def _refined_sql(cut: str = "") -> str:
+    return _dims_sql(_FIXED + f""",
+w AS (SELECT a.slide_id, a.k, a.h, vec_id, u, exp(list_dot_product(u, p) / 0.05 - max(list_dot_product(u, p) / 0.05) OVER (PARTITION BY a.slide_id, a.k, a.h)) AS w FROM a JOIN pr ON a.slide_id = pr.slide_id AND a.k = pr.k AND a.h = pr.h{cut}),
 wd AS (SELECT slide_id, k, h, w, unnest(u) AS x, generate_subscripts(u, 1) AS j FROM w), wm AS (SELECT slide_id, k, h, j, sum(w * x) / sum(w) AS m FROM wd GROUP BY ALL),
-wl AS (SELECT slide_id, CAST(k AS INTEGER) AS k, h, list(m ORDER BY j) AS m FROM wm GROUP BY ALL), rf AS (SELECT slide_id, k, h, {sql.unit('m')} AS p FROM wl)""", "rf", "p", "slide_id", "k", "h"))
+wl AS (SELECT slide_id, CAST(k AS INTEGER) AS k, h, list(m ORDER BY j) AS m FROM wm GROUP BY ALL), rf AS (SELECT slide_id, k, h, {sql.unit('m')} AS p FROM wl)""", "rf", "p", "slide_id", "k", "h")
+
+
+@query(_refined_sql(" WHERE a.k <= 4"))
 def q_refine_prototypes(s, d):
     a, _ = _fixed(s, d)
     small = a.filter("k <= 4").groupBy("slide_id", "k").applyInPandas(_refined, "slide_id long, k int, h long, emb array<double>")
     return by_dim(small, "emb", "slide_id", "k", "h")
 
 
+@query(_refined_sql())
+def q_refine_prototypes_all(s, d):
+    a, _ = _fixed(s, d)
+    return by_dim(a.groupBy("slide_id", "k").applyInPandas(_refined, "slide_id long, k int, h long, emb array<double>"), "emb", "slide_id", "k", "h")
+
+
 def _refined(pdf):
     import pandas as pd
 
     pdf = pdf.sort_values("vec_id")
-    x, own = np.stack(pdf.emb.to_list()), pdf.h.to_numpy()
-    plain = pooling.unit_rows(np.stack([x[own == h].mean(0) for h in range(int(pdf.k.iloc[0]))]))
+    x = np.stack(pdf.emb.to_list())
+    h, own = np.unique(pdf.h.to_numpy(), return_inverse=True)  # a cluster may have no patch
+    plain = pooling.unit_rows(np.stack([x[own == i].mean(0) for i in range(len(h))]))
     out = prototypes.refine(x, own, plain, prototypes.DEFAULTS.temperature)
-    return pd.DataFrame({"slide_id": pdf.slide_id.iloc[0], "k": pdf.k.iloc[0], "h": range(len(out)), "emb": list(out)})
+    return pd.DataFrame({"slide_id": pdf.slide_id.iloc[0], "k": pdf.k.iloc[0], "h": h, "emb": list(out)})
 
 
 #: A bank for each slide of the small kind: its first three patches.

@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,3 +35,29 @@ def test_sentences_are_whole_texts(spark):
 def test_endings(spark, text, end):
     got = spark.createDataFrame([(text,)], "t string").select(tx.ensure_period(tx.one_paragraph(F.col("t")))).first()[0]
     assert got == ("a " + end if end else "")
+
+
+def test_all_sizes_are_refined(spark):
+    got = {tuple(r)[:4]: r.value for r in catalogue.QUERIES["q_refine_prototypes_all"](spark, DATA).collect()}
+    slides, want = {}, {}
+    for r in fixtures.read(spark, DATA, "embeddings").orderBy("vec_id").collect():
+        slides.setdefault(r.label, []).append((r.vec_id, np.array(r.embedding, float)))
+    for label, rows in slides.items():
+        ids, x = np.array([i for i, _ in rows]), np.stack([v / np.linalg.norm(v) for _, v in rows])
+        for k in (k for k in (2, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 160, 200) if len(x) / k >= 6):
+            for h in np.unique(ids % k):
+                own = x[ids % k == h]
+                mean = own.mean(0)
+                w = np.exp(own @ mean / np.linalg.norm(mean) / 0.05)
+                p = w @ own
+                want |= {(label, k, h, d + 1): v for d, v in enumerate(p / np.linalg.norm(p))}
+    assert set(got) == set(want) and max(k for _, k, _, _ in got) > 4
+    assert max(abs(got[i] - want[i]) for i in want) < 1e-6
+
+
+def test_empty_clusters_have_no_prototype():
+    import pandas as pd
+
+    rows = pd.DataFrame({"slide_id": 1, "k": 6, "vec_id": [6, 8, 12], "h": [0, 2, 0], "emb": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]})
+    got = catalogue._refined(rows)
+    assert got.h.to_list() == [0, 2] and np.stack(got.emb.to_list()).tolist() == [[1.0, 0.0], [0.0, 1.0]]
