@@ -369,7 +369,8 @@ def q_class_macro(s, d):
 _MD5_ORDER = "row_number() OVER (PARTITION BY seed ORDER BY " + sql.md5_number("seed || '|' || c") + ", c) - 1"
 
 
-@query(f"""{_TIED.replace("[0, 100]", "[0]")}, o AS (SELECT seed, c AS cand_id, {_MD5_ORDER} AS perm_pos FROM (SELECT unnest(range(5)) AS seed), (SELECT slide_id AS c FROM kept)),
+def _tie_neutral_sql(seeds: int) -> str:
+    return f"""{_TIED.replace("[0, 100]", "[0]")}, o AS (SELECT seed, c AS cand_id, {_MD5_ORDER} AS perm_pos FROM (SELECT unnest(range({seeds})) AS seed), (SELECT slide_id AS c FROM kept)),
 s5 AS (SELECT t.*, seed, perm_pos FROM t JOIN o USING (cand_id)),
 r AS (SELECT seed, query_id, cand_id, row_number() OVER (PARTITION BY seed, query_id ORDER BY score DESC, perm_pos) AS rank FROM s5),
 h AS (SELECT *, CAST(query_id // 4 = cand_id // 4 AS INT) AS rel FROM r WHERE rank <= 10),
@@ -377,13 +378,25 @@ c AS (SELECT *, sum(rel) OVER (PARTITION BY seed, query_id ORDER BY rank) AS hit
 tot AS (SELECT slide_id // 4 AS label, count(*) AS total FROM kept GROUP BY ALL),
 q AS (SELECT seed, query_id, CAST(max(CASE WHEN rank = 1 THEN rel ELSE 0 END) AS DOUBLE) AS r1, coalesce(1.0 / min(CASE WHEN rel = 1 THEN rank END), 0.0) AS rr, sum(CASE WHEN rel = 1 THEN CAST(hits AS DOUBLE) / rank ELSE 0.0 END) / least(any_value(total), 10) AS ap
   FROM c JOIN tot ON query_id // 4 = label GROUP BY seed, query_id)
-SELECT query_id, round(avg(r1), 6) + 0.0 AS "Recall@1", round(avg(rr), 6) + 0.0 AS "MRR@10", round(avg(ap), 6) + 0.0 AS "mAP@10", round(stddev_pop(ap), 6) + 0.0 AS "mAP@10_tie_sd" FROM q GROUP BY query_id""")
-def q_tie_neutral_md5(s, d):
+SELECT query_id, round(avg(r1), 6) + 0.0 AS "Recall@1", round(avg(rr), 6) + 0.0 AS "MRR@10", round(avg(ap), 6) + 0.0 AS "mAP@10", round(stddev_pop(ap), 6) + 0.0 AS "mAP@10_tie_sd" FROM q GROUP BY query_id"""
+
+
+def _tie_neutral_md5(s, d, seeds: int) -> DataFrame:
     order = ranking.Window.partitionBy("seed").orderBy(statistics.md5_number(F.col("seed"), F.col("c_pos")), "c_pos")
-    orders = s.range(5).select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fixtures.SLIDES - 1).cast("long"))).alias("c_pos")).withColumn("perm_pos", F.row_number().over(order))
+    orders = s.range(seeds).select(F.col("id").alias("seed"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(fixtures.SLIDES - 1).cast("long"))).alias("c_pos")).withColumn("perm_pos", F.row_number().over(order))
     return _neutral(s, d, orders, "Recall@1", "MRR@10", "mAP@10", "mAP@10_tie_sd")
 
 
+@query(_tie_neutral_sql(5))
+def q_tie_neutral_md5(s, d):
+    return _tie_neutral_md5(s, d, 5)
+
+
+@query(_tie_neutral_sql(50))
+def q_tie_neutral_md5_full(s, d):
+    return _tie_neutral_md5(s, d, 50)
+
+
 def _neutral(s, d, orders: DataFrame, *columns: str) -> DataFrame:
     named = experiments.labelled(_tied(s, d, copies=False), labels_of(s, d), ("granularity",))
     got = ranking.tie_neutral(named, orders, ranking.totals(labels_of(s, d)), fixtures.SLIDES)
@@ -468,14 +481,27 @@ bt AS (SELECT {cond}, quantile_cont(d, 0.025) AS ci_lo, quantile_cont(d, 0.975)
   least(1.0, greatest(2.0 * least(avg(CAST(d <= 0 AS INT)), avg(CAST(d >= 0 AS INT))), 1.0 / {b})) AS p FROM rd GROUP BY ALL)"""
 
 
-@query(f"""WITH {_AB}, {_boot_sql('us', 'direction', 200, 42)}, c AS (SELECT direction, label, (sum(sum_b) - sum(sum_a)) / sum(n) AS d, sum(n) AS n, count(*) AS u FROM us GROUP BY ALL),
+def _bootstrap_sql(replicates: int) -> str:
+    return f"""WITH {_AB}, {_boot_sql('us', 'direction', replicates, 42)}, c AS (SELECT direction, label, (sum(sum_b) - sum(sum_a)) / sum(n) AS d, sum(n) AS n, count(*) AS u FROM us GROUP BY ALL),
 pt AS (SELECT direction, avg(d) AS diff, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(u) AS BIGINT) AS n_units FROM c GROUP BY ALL)
-SELECT direction, round(diff, 6) + 0.0 AS diff, round(ci_lo, 6) + 0.0 AS ci_lo, round(ci_hi, 6) + 0.0 AS ci_hi, round(p, 6) + 0.0 AS p, n_rows, n_units, round(sd, 6) + 0.0 AS sd FROM bt JOIN pt USING (direction)""")
-def q_bootstrap_md5(s, d):
-    got = statistics.bootstrap_hashed(_ab(s, d), 200, 42, ("direction",))
+SELECT direction, round(diff, 6) + 0.0 AS diff, round(ci_lo, 6) + 0.0 AS ci_lo, round(ci_hi, 6) + 0.0 AS ci_hi, round(p, 6) + 0.0 AS p, n_rows, n_units, round(sd, 6) + 0.0 AS sd FROM bt JOIN pt USING (direction)"""
+
+
+def _bootstrap_md5(s, d, replicates: int) -> DataFrame:
+    got = statistics.bootstrap_hashed(_ab(s, d), replicates, 42, ("direction",))
     return got.select("direction", *[r6(c).alias(c) for c in ("diff", "ci_lo", "ci_hi", "p")], "n_rows", "n_units", r6("sd").alias("sd"))
 
 
+@query(_bootstrap_sql(200))
+def q_bootstrap_md5(s, d):
+    return _bootstrap_md5(s, d, 200)
+
+
+@query(_bootstrap_sql(2000))
+def q_bootstrap_md5_full(s, d):
+    return _bootstrap_md5(s, d, 2000)
+
+
 @query()
 def q_bootstrap_numpy(s, d):
     return statistics.bootstrap_numpy(_ab(s, d), ("direction",), 2000, 42)
@@ -483,7 +509,7 @@ def q_bootstrap_numpy(s, d):
 
 @query()
 def q_bootstrap_multi(s, d):
-    return statistics.bootstrap_multi(_ab(s, d).withColumn("c", F.lit(0.5) * (F.col("a") + F.col("b"))), ("a", "b", "c"), "a", ("direction",), 2000)
+    return statistics.bootstrap_multi(_ab(s, d).withColumn("c", F.lit(0.5) * (F.col("a") + F.col("b"))), ("a", "b", "c"), "a", ("direction",))
 
 
 @query("SELECT * FROM (VALUES ('a', 0, true), ('a', 1, true), ('a', 2, true), ('b', 0, true), ('b', 1, false), ('b', 2, false)) t(family, idx, reject)")
@@ -506,16 +532,34 @@ hm AS (SELECT *, bool_and(p <= 0.05 / (m - k + 1)) OVER (PARTITION BY variant, m
 @query(f"""WITH {_ABLATION} SELECT val.direction, val.variant, val.metric, round(value, 6) + 0.0 AS value, round(diff, 6) + 0.0 AS diff, round(ci_lo, 6) + 0.0 AS ci_lo, round(ci_hi, 6) + 0.0 AS ci_hi, round(p, 6) + 0.0 AS p, coalesce(reject, false) AS holm
 FROM val LEFT JOIN hm ON val.direction = hm.direction AND val.variant = hm.variant AND val.metric = hm.metric LEFT JOIN pt ON val.direction = pt.direction AND val.variant = pt.variant AND val.metric = pt.metric""")
 def q_score_ablation(s, d):
+    return _score_ablation(s, d, 100)
+
+
+def _score_ablation(s, d, replicates: int) -> DataFrame:
     q = experiments.ablation_queries(fixtures.both_ways(s, d), labels_of(s, d), fixtures.SLIDES, COND)
     units = fixtures.slides(s, d).select(F.col("slide_id").alias("query_id"), F.col("case_id").alias("unit"))
-    got = experiments.score_ablation(q, units, replicates=100)
+    got = experiments.score_ablation(q, units, replicates=replicates)
     return got.select("direction", "variant", "metric", *[r6(c).alias(c) for c in ("value", "diff", "ci_lo", "ci_hi", "p")], "holm")
 
 
+@query()
+def q_score_ablation_full(s, d):
+    return _score_ablation(s, d, 20_000)
+
+
+def _holm_by_variant(ablation: DataFrame) -> DataFrame:
+    got = ablation.filter("variant <> 'rerank'")
+    return statistics.holm(got, "p", "direction", ("variant", "metric")).select("direction", "variant", "metric", "p", "reject")
+
+
 @query(f"WITH {_ABLATION} SELECT direction, variant, metric, round(p, 6) + 0.0 AS p, reject FROM hm")
 def q_holm_by_variant(s, d):
-    got = q_score_ablation(s, d).filter("variant <> 'rerank'")
-    return statistics.holm(got, "p", "direction", ("variant", "metric")).select("direction", "variant", "metric", "p", "reject")
+    return _holm_by_variant(q_score_ablation(s, d))
+
+
+@query()
+def q_holm_by_variant_full(s, d):
+    return _holm_by_variant(q_score_ablation_full(s, d))
 
 
 # --- text

@@ -61,3 +61,15 @@ def test_empty_clusters_have_no_prototype():
     rows = pd.DataFrame({"slide_id": 1, "k": 6, "vec_id": [6, 8, 12], "h": [0, 2, 0], "emb": [[1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]})
     got = catalogue._refined(rows)
     assert got.h.to_list() == [0, 2] and np.stack(got.emb.to_list()).tolist() == [[1.0, 0.0], [0.0, 1.0]]
+
+
+def test_ablation_takes_all_replicates(spark):
+    rows = [r for r in catalogue.QUERIES["q_score_ablation_full"](spark, DATA).collect() if r.variant != "rerank"]
+    steps = [r.p * 20_000 for r in rows]
+    assert all(abs(x - round(x)) < 0.02 for x in steps) and any(round(x) % 200 for x in steps)  # not all multiples of 1/100
+
+
+def test_bootstrap_multi_takes_all_replicates(spark):
+    rows = catalogue.QUERIES["q_bootstrap_multi"](spark, DATA).filter("method <> 'a'").collect()
+    steps = [r.p * 20_000 for r in rows]
+    assert all(abs(x - round(x)) < 1e-6 for x in steps) and any(round(x) % 10 for x in steps)  # not all multiples of 1/2000
