@@ -35,8 +35,8 @@ class RateLimited(Exception):
 
 
 def stub(instructions: str, text: str) -> str:
-    """An offline rewriter, for tests: the first time it repeats the source's start, on a retry it drops the named terms."""
-    source = text.partition("SOURCE:\n")[2].strip()[:400]
+    """An offline rewriter, for tests: the first time it repeats the source, on a retry it drops the named terms."""
+    source = text.partition("SOURCE:\n")[2].strip()
     named = instructions.partition("gave away: ")[2].partition(".\n")[0]
     for term in filter(None, named.split(", ")):
         source = re.sub(term if "\\" in term else rf"\b{re.escape(term)}\w*\b", " ", source, flags=re.I)

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crossrank.functions import text as tx
+from crossrank.operators import rewriting
 from crossrank.plans import catalogue, fixtures
 
 DATA = "/root/testdata/sf0.001"
@@ -73,3 +74,10 @@ def test_bootstrap_multi_takes_all_replicates(spark):
     rows = catalogue.QUERIES["q_bootstrap_multi"](spark, DATA).filter("method <> 'a'").collect()
     steps = [r.p * 20_000 for r in rows]
     assert all(abs(x - round(x)) < 1e-6 for x in steps) and any(round(x) % 10 for x in steps)  # not all multiples of 1/2000
+
+
+def test_a_late_leak_is_met(spark):
+    text = "Sheets of cells with round nuclei and clear cytoplasm. " * 12 + "Seen in breast."
+    df = spark.createDataFrame([(1, "c", "p", text, "Ductal Carcinoma", "Breast")], "slide_id long, case_id string, project_id string, slide_reports string, cancer_type_detailed string, site_of_resection_or_biopsy string")
+    r = rewriting.rewrite(df).first()
+    assert r.attempts_used == 2 and len(r.rewritten_text) > 600 and "breast" not in r.rewritten_text.lower()
