@@ -1,31 +1,40 @@
 """Packing token ids into windows of fixed length, with little padding.
 
-Each shard of documents fills whole windows from its long documents first. The lengths that remain make a
+A task deals its rows, as it reads them, into shards of a few MB of text; nothing is shuffled, and a task holds one
+shard at a time. Each shard fills whole windows from its long documents first. The lengths that remain make a
 histogram. Shallow combinations (one to three lengths that fill a window exactly) are its columns; their
 repeat counts come from non-negative least squares against the histogram, are rounded down, and are taken
 while pieces last. What is left is packed greedily, cut at window ends. So only a shard's last window is padded.
 
-Cases: a null text counts as empty and gives the end id alone; an empty table gives no pieces; repeated ids
-are separate documents in one shard (their pieces carry the same id); only id and text are read.
+Ids are those of the tokenizer file's own library at its defaults: an added token that occurs in a text, such as
+``<|endoftext|>``, is that token's id, and what stands before and after it is split apart.
+
+Sequence ids follow from the number of the task's partition and the order of its rows, so the input should be a table
+(or ``written``), which a task that is run again reads in the same order.
+
+Cases: a null text counts as empty and gives the end id alone; an empty table gives no pieces; repeated or null ids
+are separate documents (their pieces carry the same id) and gather nowhere; only id and text are read.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossrank.llm.common import block_of, blocks_for, table
+from crossrank.llm.common import table
 
 WINDOW = 2048
 #: The id that ends a document.
 END_ID = 1
-#: Text bytes of a shard; a shard ends with at most one padded window.
-SHARD_BYTES = 4 << 20
+#: Characters of a shard, when it is full; a shard ends with at most one padded window.
+SHARD_CHARS = 4 << 20
 #: Lengths from which three-part combinations are made: the commonest, so many at most.
 TRIPLE_LENGTHS = 48
 STEPS = 300
@@ -38,11 +47,14 @@ def encoder(name: str):
     import tiktoken
 
     with open(public_tokenizers.path(name), encoding="utf-8") as f:
-        vocab = json.load(f)["model"]["vocab"]
+        file = json.load(f)
+    added = {t["content"]: t["id"] for t in file["added_tokens"]}
+    if any(t[k] for t in file["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError(f"{name}: added tokens that match more or less than their own text are not supported")
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     back = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    ranks = {bytes(map(back.__getitem__, s)): i for s, i in vocab.items() if all(c in back for c in s) and s != "<|endoftext|>"}
-    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(map(back.__getitem__, s)): i for s, i in file["model"]["vocab"].items() if s not in added}
+    return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def combinations(hist: np.ndarray) -> np.ndarray:
@@ -136,28 +148,42 @@ def plan(lengths: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int,
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+#: Sequences that a partition can number.
+_SEQUENCES = 1 << 40
+
+
+def packed(of: list[int | None], docs: list[np.ndarray], first: int, window: int) -> pa.RecordBatch:
+    """The pieces of one shard, whose sequences count from ``first``."""
+    lengths = np.fromiter(map(len, docs), np.int64, len(docs))
+    pieces = plan(lengths, window)
+    d, start, length, seq, at = map(np.array, zip(*pieces, strict=True))
+    ids = [docs[i][s : s + k].tobytes() for i, s, k, _, _ in pieces]
+    return pa.RecordBatch.from_arrays([pa.array(of, pa.int64()).take(pa.array(d)), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(lengths[d]), pa.array(seq + first), pa.array(at)], schema=_ARROW)
 
 
 def pack(df: DataFrame, name: str = "byte_bpe_50k.json", id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row for each piece; ``ids`` holds the piece's ids as little-endian unsigned 32-bit integers."""
     small = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(text_col, F.lit("")).alias("text"))
-    n = blocks_for(small, "text", SHARD_BYTES)
 
-    def run(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        group = group.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(name)
-        docs = [np.append(enc.encode_to_numpy(t.as_py(), disallowed_special=()), END_ID).astype("<u4") for b in group.column("text").chunks for t in b]
-        lengths = np.fromiter(map(len, docs), np.int64, len(docs))
-        pieces = plan(lengths, window)
-        if not pieces:
-            return _ARROW.empty_table()
-        d, start, length, seq, at = map(np.array, zip(*pieces, strict=True))
-        ids = [docs[i][s : s + k].tobytes() for i, s, k, _, _ in pieces]
-        of = group.column("doc_id").combine_chunks()
-        return pa.table([of.take(pa.array(d)), pa.array(start), pa.array(length), pa.array(ids, pa.binary()), pa.array(lengths[d]), pa.array(seq + (shard << 32)), pa.array(at)], schema=_ARROW)
-
-    return small.withColumn("shard", block_of("doc_id", n).cast("long")).groupBy("shard").applyInArrow(run, SCHEMA)
+        first = TaskContext.get().partitionId() * _SEQUENCES
+        of, docs, held = [], [], 0
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                text = t.as_py()
+                of.append(i)
+                docs.append(np.append(enc.encode_to_numpy(text, allowed_special="all"), END_ID).astype("<u4"))
+                held += len(text)
+                if held >= SHARD_CHARS:
+                    out = packed(of, docs, first, window)
+                    yield out
+                    first = out.column(5)[-1].as_py() + 1
+                    of, docs, held = [], [], 0
+        if docs:
+            yield packed(of, docs, first, window)
+
+    return small.mapInArrow(run, SCHEMA)
 
 
 def pieces(df: DataFrame) -> DataFrame:

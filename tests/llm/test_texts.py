@@ -266,7 +266,6 @@ def test_bpe_odd_rows(odd, reference):
 
 def check_packing(rows, pieces, window=2048):
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     want = Counter((i, np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for i, t in rows)
     sizes, at = {}, {}
     for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
@@ -293,9 +292,37 @@ def test_packing_odd_rows(odd):
     assert packing.pieces(odd.limit(0)).count() == 0
 
 
-def test_special_strings_are_ordinary_text(spark):
-    rows = [(1, "before <|endoftext|> after"), (2, "<|endoftext|>")]
-    check_packing(rows, packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+END = "<|endoftext|>"
+#: The added token at the start, in the middle, at the end, doubled, within words, between blanks, and nearly.
+SPECIAL = [END, f"{END} after", f"before {END} after", f"before {END}", f"a{END}{END}b", f"wo{END}rd", f"two  {END}  blanks \n{END}\n", "<|endoftext|", "<|endof<|endoftext|>text|>", "<|ENDOFTEXT|>"]
+
+
+def test_added_tokens_are_what_the_library_makes_of_them(spark):
+    rows = list(enumerate(SPECIAL))
+    pieces = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    check_packing(rows, pieces)
+    assert sum(r.length for r in pieces if r.doc_id == 0) == 2
+
+
+@given(st.lists(st.sampled_from([END, "<|", "endoftext", "|>", " ", "  ", "\n", "a", "'s", "7", "é", "\U0001f600"]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_packed_ids_equal_the_library(text):
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert packing.encoder("byte_bpe_50k.json").encode(text, allowed_special="all") == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_over_many_shards_and_partitions(spark, docs, monkeypatch):
+    """Shards smaller than a partition, several partitions, one id for a third of all rows."""
+    rows = [(1 if k % 3 == 0 else r.doc_id, r.text) for k, r in enumerate(docs.collect())]
+    monkeypatch.setattr(packing, "SHARD_CHARS", 20_000)
+    got = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sum(r.length for r in got) == sum(len(lib.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in rows)
+    sizes = {}
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == sizes.get(r.sequence_id, 0)
+        sizes[r.sequence_id] = r.offset + r.length
+    assert max(sizes.values()) <= 2048 and len({s >> 40 for s in sizes}) == 5
 
 
 @given(st.lists(st.integers(1, 200), max_size=60))
