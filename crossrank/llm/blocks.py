@@ -1,42 +1,56 @@
 """Block exchange: blocks of documents ask buckets of hashes, and get their answers back.
 
-Documents are dealt into blocks of a few MB by the hash of their id. A block sends each bucket the part of its
-hash array that falls there, as one binary value, and the bucket answers each block with an array in the same
-order. Thus a shuffle moves few large rows in place of one row for each hash, a hash that half of all documents
-hold reaches its bucket once for each block, and the answers need no ids. The exchange that deals the texts is
-the same in each step, so Spark runs it once and reuses it.
+Documents are dealt into blocks of a few MB by a hash of id and text, so that neither a repeated id nor a repeated text
+gathers. A block sends each bucket the part of its hash array that falls there, as one binary value, and the bucket
+answers each block with an array in the same order. Thus a shuffle moves few large rows in place of one row for each
+hash, a hash that half of all documents hold reaches its bucket once for each block, and the answers need no ids. The
+exchange that deals the texts is the same in each step, so Spark runs it once and reuses it.
+
+Blocks and buckets have a fixed size at every scale. A block sends a message to each bucket that it has a hash of:
+messages number blocks times buckets at most, and never more than the blocks' distinct hashes, which is what an
+exchange of one row for each hash would move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crossrank.llm.common import block_of
+from crossrank.llm.common import new_key
 
-#: Text bytes of a block, and blocks that smaller inputs are dealt into as far as each has LEAST_BYTES.
-BLOCK_BYTES, SPREAD, LEAST_BYTES = 4 << 20, 64, 256 << 10
-#: Messages number blocks times buckets. So beyond so many blocks their size grows with the input, up to the
-#: largest that a task should hold several times over.
-MANY_BLOCKS, MOST_BYTES = 1 << 17, 512 << 20
+#: Text bytes of a block, and those whose hashes fill a bucket.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+#: Blocks and buckets that smaller inputs are dealt into, as far as each has LEAST_BYTES.
+SPREAD, LEAST_BYTES = 64, 256 << 10
 #: A null id sorts after all others.
 NO_ID = np.iinfo(np.int64).max
 
 MESSAGE = "bucket long, block long, data binary"
 
 
-def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> tuple[DataFrame, int]:
-    """``doc_id, text, block`` and the number of blocks; with ``carry`` also the whole row but its text, as ``rest``."""
+@dataclass(frozen=True)
+class Dealt:
+    """Documents in blocks: ``doc_id, text, block``, the numbers of blocks and buckets, and the key of word hashes."""
+
+    docs: DataFrame
+    blocks: int
+    buckets: int
+    key: bytes
+
+
+def deal(df: DataFrame, id_col: str, text_col: str, carry: bool = False) -> Dealt:
+    """Rows dealt into blocks; with ``carry`` also the whole row but its text, as ``rest``."""
     rest = [F.struct(*[F.col(f"`{c}`") for c in df.columns if c != text_col]).alias("rest")] if carry else []
     small = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *rest)
     total = int(small.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    size = min(MOST_BYTES, max(BLOCK_BYTES, total // MANY_BLOCKS))
-    n = max(1, -(-total // size), min(SPREAD, total // LEAST_BYTES))
-    return small.withColumn("block", block_of("doc_id", n).cast("long")), n
+    blocks, buckets = (max(1, -(-total // size), min(SPREAD, total // LEAST_BYTES)) for size in (BLOCK_BYTES, BUCKET_BYTES))
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("bigint"))
+    return Dealt(small.withColumn("block", block), blocks, buckets, new_key())
 
 
 def in_order(group: pa.Table) -> pa.Table:

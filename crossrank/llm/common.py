@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import secrets
 import tempfile
 import uuid
 from dataclasses import dataclass
-from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,12 @@ BATCH_BYTES = "16m"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: ``spark.checkpoint.dir`` of the session.
 
-    A session without that setting is a local one (tests); it gets a temporary folder of its own.
+    A local session without that setting (tests) gets a temporary folder; on a cluster it must be set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + os.path.join(tempfile.gettempdir(), "crossrank-shared")
         spark.conf.set("spark.checkpoint.dir", where)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -58,44 +61,46 @@ def fold(id_col: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus, F.lit(-1).cast("bigint"))
 
 
-def blocks_for(df: DataFrame, text_col: str, block_bytes: int, least: int = 1) -> int:
-    """How many blocks of about ``block_bytes`` of text the rows fill."""
-    total = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(least, -(-int(total) // block_bytes))
-
-
-def block_of(id_col: str, n: int) -> Column:
-    """Block of a row by its id; rows with a null id spread no further than one block."""
-    return F.pmod(F.xxhash64(F.col(id_col)), F.lit(n).cast("bigint")).cast("int")
-
-
-#: Bytes hashed at once, up to the next blank; longer words make longer pieces.
+#: Bytes handled at once, up to the next blank; longer words make longer pieces.
 PIECE = 1 << 19
-#: Odd multiplier of the word polynomial, and its inverse modulo 2^64.
-BASE = 0x5851F42D4C957F2D
-INVERSE = pow(BASE, -1, 1 << 64)
+#: Words remembered at once, and the longest of them.
+REMEMBERED, LONGEST = 1 << 20, 64
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _next_blank = re.compile(rb"[\x09-\x0d\x20]").search
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for b in (BASE, INVERSE):
-        x = np.full(n, b, np.uint64)
-        x[0] = 1
-        out.append(np.multiply.accumulate(x))
-    return out[0], out[1]
+def new_key() -> bytes:
+    """A key for the word hashes of one run. It is drawn anew each time, so no text can be made to collide."""
+    return secrets.token_bytes(16)
 
 
-def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and 64-bit hashes of all words (runs without blanks) of a buffer, without a loop over words.
+def digest(data: bytes, key: bytes, size: int = 16) -> bytes:
+    """Keyed cryptographic digest."""
+    return blake2b(data, digest_size=size, key=key).digest()
 
-    A word's polynomial is a difference of running sums over the buffer, shifted to the word's start.
-    """
+
+class WordHashes(dict):
+    """64-bit keyed hashes of words, each computed once for as long as it is remembered."""
+
+    def __init__(self, key: bytes) -> None:
+        super().__init__()
+        self.key = key
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(digest(word, self.key, 8), "little")
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = h
+        return h
+
+
+def word_hashes(raw: bytes, key: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of all words (runs without blanks) of a buffer, a piece at a time."""
     starts, ends, hashes, at = [], [], [], 0
+    known = WordHashes(key)
     while at < len(raw):
         end = at + PIECE
         if end >= len(raw):
@@ -106,14 +111,9 @@ def word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             end = len(raw)
         a = np.frombuffer(raw, np.uint8, end - at, at)
         edge = np.diff(np.concatenate([[True], _BLANK[a], [True]]).astype(np.int8))
-        s, e = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        power, inverse = _powers(1 << max(19, (len(a)).bit_length()))
-        with np.errstate(over="ignore"):
-            c = np.zeros(len(a) + 1, np.uint64)
-            np.cumsum((a.astype(np.uint64) + np.uint64(1)) * power[: len(a)], out=c[1:])
-            hashes.append(mix((c[e] - c[s]) * inverse[s] + (e - s).astype(np.uint64) * np.uint64(0xA0761D6478BD642F)))
-        starts.append(s + at)
-        ends.append(e + at)
+        starts.append(np.flatnonzero(edge == -1) + at)
+        ends.append(np.flatnonzero(edge == 1) + at)
+        hashes.append(np.fromiter(map(known.__getitem__, raw[at:end].split()), np.uint64, len(starts[-1])))
         at = end
     if not starts:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
@@ -125,32 +125,28 @@ class Words:
     """The words of a block of texts: one buffer, and for each word its place, hash and text."""
 
     raw: bytes
+    key: bytes
     start: np.ndarray
     end: np.ndarray
     hash: np.ndarray
     text: np.ndarray  # of each word
     first: np.ndarray  # word at which each text begins; one more at the end
 
-    def __init__(self, texts: list[bytes]) -> None:
-        self.raw = b"\n".join(texts)
-        self.start, self.end, self.hash = word_hashes(self.raw)
+    def __init__(self, texts: list[bytes], key: bytes) -> None:
+        self.raw, self.key = b"\n".join(texts), key
+        self.start, self.end, self.hash = word_hashes(self.raw, key)
         begin = np.cumsum([0, *(len(t) + 1 for t in texts)])
         self.text = np.searchsorted(begin, self.start, "right") - 1
         self.first = np.searchsorted(self.start, begin)
 
+    def runs(self, n: int) -> np.ndarray:
+        """Hashes of ``n`` consecutive words from each word, whatever texts they lie in."""
+        return windows(self.hash, multipliers(self.key, n))
+
     def joined(self, first: int, last: int) -> bytes:
         """Words ``first`` to ``last`` (one past the end), with one blank between them."""
         return b" ".join(self.raw[self.start[first] : self.end[last - 1]].split()) if last > first else b""
 
-    def runs(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of ``n`` consecutive words from each word, and which of them lie in one text."""
-        h = windows(self.hash, n)
-        return h, self.text[: len(h)] == self.text[len(self.text) - len(h) :] if len(h) else np.empty(0, bool)
-
-
-#: Odd multiplier of the rolling polynomial (2^64 over the golden ratio, made odd).
-STEP = np.uint64(0x9E3779B97F4A7C15)
-
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly over all bits."""
@@ -161,12 +157,21 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` consecutive word hashes (empty if there are fewer words)."""
-    if len(h) < n:
+def multipliers(key: bytes, n: int) -> np.ndarray:
+    """An odd multiplier for each place of a run, drawn from the key."""
+    return np.frombuffer(b"".join(digest(b"place %d" % k, key, 8) for k in range(n)), np.uint64) | np.uint64(1)
+
+
+def windows(h: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of as many consecutive word hashes as there are multipliers (empty if there are fewer words).
+
+    Two different runs differ in some word's hash times a sum of drawn multipliers, that is by a product of two drawn
+    numbers; it is 0 modulo 2^64 with a probability of 2^-57 at most, whatever the words.
+    """
+    if len(h) < len(odd):
         return np.empty(0, np.uint64)
-    out = np.zeros(len(h) - n + 1, np.uint64)
+    out = np.zeros(len(h) - len(odd) + 1, np.uint64)
     with np.errstate(over="ignore"):
-        for i in range(n):
-            out = out * STEP + h[i : len(h) - n + 1 + i]
+        for i, m in enumerate(odd):
+            out += h[i : len(h) - len(odd) + 1 + i] * m
         return mix(out)

@@ -18,6 +18,9 @@ and pruned so that only pairs that can reach the bound are multiplied:
 No step caps a list: each pair within the bound is either multiplied or already connected. Products with hubs drop
 a pair as soon as what remains of the columns cannot reach the bound.
 
+A shingle is a 64-bit hash made from words hashed under a key of the run, so no text can be written to collide; two
+different shingles are taken for one with a probability of 2^-57 at most, whatever the texts.
+
 Cases: a null text, or one without words, has an empty set and no links; with fewer words than a shingle the
 whole sequence is one; repeated rows fold; a null id takes no part in links and has a null component; rows with
 equal ids and different texts count as one document for reachability; other columns are not read.
@@ -27,12 +30,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from crossrank.llm.blocks import MESSAGE, NO_ID, answers, ask, cuts, deal, documents, message_table, messages
-from crossrank.llm.common import Words, table, windows, written
+from crossrank.llm.blocks import MESSAGE, NO_ID, Dealt, answers, ask, cuts, deal, documents, message_table, messages
+from crossrank.llm.common import Words, digest, table, written
 from crossrank.llm.components import components
 
 SHINGLE = 5
@@ -55,10 +57,10 @@ CLASS = "digest binary, block long, least long"
 DOC = "doc_id long, rep long, n long, own long, shingles array<long>, prefix array<long>"
 
 
-def _first_of_class(texts: list[bytes], keys: np.ndarray) -> tuple[Words, list[bytes], dict[bytes, int]]:
+def _first_of_class(texts: list[bytes], keys: np.ndarray, hash_key: bytes) -> tuple[Words, list[bytes], dict[bytes, int]]:
     """Words and digest of each text; the least id of each digest in this block."""
-    w = Words([t.lower() for t in texts])
-    digests = [xxhash.xxh3_128_digest(w.joined(s, e)) for s, e in zip(w.first.tolist(), w.first[1:].tolist())]
+    w = Words([t.lower() for t in texts], hash_key)
+    digests = [digest(w.joined(s, e), hash_key) for s, e in zip(w.first.tolist(), w.first[1:].tolist())]
     least: dict[bytes, int] = {}
     for d, k in zip(digests, keys.tolist(), strict=True):
         least[d] = min(k, least.get(d, NO_ID))
@@ -78,7 +80,7 @@ def _heads(w: Words, digests: list[bytes], keys: np.ndarray, rep: dict[bytes, in
 
 def _sets(w: Words, texts: list[int]) -> list[np.ndarray]:
     """Sorted hashes of the distinct shingles of the given texts; a shorter text is one shingle."""
-    h = windows(w.hash, SHINGLE)
+    h = w.runs(SHINGLE)
     out = []
     for k in texts:
         s, e = int(w.first[k]), int(w.first[k + 1])
@@ -94,12 +96,13 @@ def _columns(w: Words, heads: list[int]) -> tuple[list[np.ndarray], np.ndarray,
     return sets, h, of, n
 
 
-def documents_with_sets(docs: DataFrame, n: int) -> DataFrame:
+def documents_with_sets(dealt: Dealt) -> DataFrame:
     """``DOC``: each document's class and set size; for candidates also their sets and their rarest shared columns."""
+    docs, n, hash_key = dealt.docs, dealt.buckets, dealt.key
 
     def classes(group: pa.Table) -> pa.Table:
         _, keys, texts = documents(group)
-        _, _, least = _first_of_class(texts, keys)
+        _, _, least = _first_of_class(texts, keys, hash_key)
         return pa.table({"digest": pa.array(list(least), pa.binary()), "block": pa.array([group.column("block")[0].as_py()] * len(least), pa.int64()), "least": pa.array(list(least.values()), pa.int64())})
 
     def elsewhere(got: pa.Table) -> dict[bytes, int]:
@@ -110,7 +113,7 @@ def documents_with_sets(docs: DataFrame, n: int) -> DataFrame:
             return message_table([])
         block = key[0].as_py()
         _, keys, texts = documents(group)
-        w, digests, least = _first_of_class(texts, keys)
+        w, digests, least = _first_of_class(texts, keys, hash_key)
         least |= elsewhere(got)
         heads = _heads(w, digests, keys, least)
         h = _columns(w, heads)[1]
@@ -120,7 +123,7 @@ def documents_with_sets(docs: DataFrame, n: int) -> DataFrame:
 
     def choose(key, group: pa.Table, got: pa.Table) -> pa.Table:
         ids, keys, texts = documents(group)
-        w, digests, least = _first_of_class(texts, keys)
+        w, digests, least = _first_of_class(texts, keys, hash_key)
         state = next((d for b, d in zip(got.column("bucket").to_pylist(), got.column("data").to_pylist(), strict=True) if b < 0), b"")
         least |= {state[s : s + 16]: int.from_bytes(state[s + 16 : s + 24], "little", signed=True) for s in range(0, len(state), 24)}
         heads = _heads(w, digests, keys, least)
@@ -261,8 +264,7 @@ def links(docs: DataFrame) -> DataFrame:
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``."""
     spark = df.sparkSession
-    docs, n = deal(df, id_col, text_col)
-    docs = written(spark, documents_with_sets(docs, n), "sets")
+    docs = written(spark, documents_with_sets(deal(df, id_col, text_col)), "sets")
     comp = components(links(docs))
     out = docs.select("doc_id", "rep", F.col("n").alias("n_shingles")).join(comp, F.col("rep") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

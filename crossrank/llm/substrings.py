@@ -6,26 +6,31 @@ A window of ``WINDOW`` words is an edge between the nodes of its first and last
    whose minimizer occurs in two documents can repeat; they make a document's candidate walks.
 2. Walks send each node with its edge before and after to the node's bucket. A node is a break if it has two
    different edges on a side, one of which may be the end of a walk. Between breaks a path does not branch,
-   and each document on a part of it is on all of it.
+   and each document on a part of it is on all of it. Hashes of nodes and anchors may be short: two that are taken
+   for one only add a break or a candidate. Two edges that are taken for one would hide a break and keep words, so
+   these have 63 bits, made from words hashed under a key of the run.
 3. Walks are cut at breaks. The paths so compacted are joined over all blocks by the digest of their exact
    words, which verifies what the hashes proposed, and take the least document that holds them.
 4. Paths go back to their source coordinates: a document loses the words of each path that a smaller id holds.
 
+Words are removed by exact text alone; two different edges of one node are taken for one with a probability of 2^-56 at
+most, whatever the texts.
+
 Cases: a null text has no words; texts shorter than a window keep all words; a null id counts as the largest;
-rows with equal ids never remove from each other; an empty table gives no rows; other columns are not read.
+rows with equal ids never remove from each other and gather nowhere; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossrank.llm.blocks import MESSAGE, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
-from crossrank.llm.common import Words, table, windows, written
+from crossrank.llm.blocks import MESSAGE, Dealt, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
+from crossrank.llm.common import Words, digest, table, written
 
 WINDOW, ANCHOR = 13, 8
 
@@ -35,7 +40,7 @@ def _anchors(w: Words) -> tuple[np.ndarray, np.ndarray]:
     whole = len(w.hash) - WINDOW + 1
     if whole <= 0:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    a = windows(w.hash, ANCHOR)
+    a = w.runs(ANCHOR)
     low = a[:whole].copy()
     for i in range(1, WINDOW - ANCHOR + 1):
         np.minimum(low, a[i : i + whole], out=low)
@@ -76,7 +81,7 @@ def _breaks(arrays: list[np.ndarray]) -> list[np.ndarray]:
     return np.split(out, np.cumsum([len(a) for a in arrays])[:-1])
 
 
-NODE = np.dtype([("node", "<u4"), ("before", "<u4"), ("after", "<u4")])
+NODE = np.dtype([("before", "<u8"), ("after", "<u8"), ("node", "<u4")])
 #: A candidate walk: the words (within its block) at which its first and last window start.
 WALK = np.dtype([("first", "<i4"), ("last", "<i4")])
 
@@ -93,15 +98,15 @@ def _walks(at: np.ndarray, text: np.ndarray) -> np.ndarray:
 def _nodes(w: Words, walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, edge before and edge after (0: none) of each node of each walk, walk after walk."""
     if not len(walks):
-        return np.empty(0, np.uint64), np.empty(0, np.uint32), np.empty(0, np.uint32)
-    edges = np.append(_low(windows(w.hash, WINDOW)) | np.uint32(1), np.uint32(0))
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    edges = np.append(w.runs(WINDOW) | np.uint64(1), np.uint64(0))
     size = (walks["last"] - walks["first"] + 2).astype(np.int64)
     ends = np.cumsum(size)
     at = np.arange(ends[-1]) + np.repeat(walks["first"] - (ends - size), size)
     before, after = edges[at - 1], edges[np.minimum(at, len(edges) - 1)]
     before[ends - size] = 0
     after[ends - 1] = 0
-    return windows(w.hash, WINDOW - 1)[at], before, after
+    return w.runs(WINDOW - 1)[at], before, after
 
 
 def _entries(w: Words, walks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -123,22 +128,24 @@ PATH = "digest binary, block long, least long, places binary"
 PLACE = np.dtype([("id", "<i8"), ("text", "<i4"), ("first", "<i4"), ("words", "<i4")])
 
 
-def repeats(docs: DataFrame, n: int) -> DataFrame:
+def repeats(dealt: Dealt) -> DataFrame:
     """Paths of each block that lose words: ``block, digest, first, places``, with the least id that holds the path.
 
     A path with several places in a block has a row with them and the block's own least id, and, where another
     block has a smaller one, a row with that and no places.
     """
 
+    docs, n, hash_key = dealt.docs, dealt.buckets, dealt.key
+
     def anchors(group: pa.Table) -> pa.Table:
         block = group.column("block")[0].as_py()
-        h = np.unique(_anchors(Words(documents(group)[2]))[1])
+        h = np.unique(_anchors(Words(documents(group)[2], hash_key))[1])
         return message_table(messages(block, cuts(h, n), _low(h)))
 
     def nodes(key, group: pa.Table, got: pa.Table) -> pa.Table:
         if not group.num_rows:
             return message_table([])
-        w = Words(documents(group)[2])
+        w = Words(documents(group)[2], hash_key)
         at, low = _anchors(w)
         h, of = np.unique(low, return_inverse=True)
         # An anchor in two documents of this block is a candidate whatever the other blocks hold.
@@ -155,7 +162,7 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
         out: dict[bytes, list] = {}
         if group.num_rows:
             _, keys, texts = documents(group)
-            w = Words(texts)
+            w = Words(texts, hash_key)
             walks = np.frombuffer(kept_state(got), WALK)
             data, _, entry = _entries(w, walks)
             cut = answers(got, len(data))[entry] > 0
@@ -170,7 +177,7 @@ def repeats(docs: DataFrame, n: int) -> DataFrame:
                 begin, key_of = first - int(w.first[text]), int(keys[text])
                 for s, e in zip(ends, ends[1:]):
                     path = words[s : e + WINDOW - 1]
-                    out.setdefault(xxhash.xxh3_128_digest(b" ".join(path)), []).append((key_of, text, begin + s, len(path)))
+                    out.setdefault(digest(b" ".join(path), hash_key), []).append((key_of, text, begin + s, len(path)))
         places = [np.array(p, PLACE) for p in out.values()]
         return pa.table({"digest": pa.array(list(out), pa.binary()), "block": pa.array([key[0].as_py()] * len(out), pa.int64()), "least": pa.array([int(p["id"].min()) for p in places], pa.int64()), "places": pa.array([p.tobytes() for p in places], pa.binary())})
 
@@ -193,7 +200,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
 
     With ``carry`` also ``rest`` (all columns but the text) and ``text`` (an empty text where it was null).
     """
-    docs, n = deal(df, id_col, text_col, carry)
+    dealt = deal(df, id_col, text_col, carry)
+    docs = dealt.docs
 
     def keep(key, group: pa.Table, got: pa.Table) -> pa.Table:
         ids, keys, texts = documents(group)
@@ -228,7 +236,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     schema = T.StructType([*longs, T.StructField("kept", T.StringType())])
     if carry:
         schema = schema.add("text", T.StringType()).add("rest", docs.schema["rest"].dataType)
-    return docs.groupBy("block").cogroup(repeats(docs, n).groupBy("block")).applyInArrow(keep, schema)
+    return docs.groupBy("block").cogroup(repeats(dealt).groupBy("block")).applyInArrow(keep, schema)
 
 
 def without_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,4 +1,5 @@
 import base64
+import dataclasses
 import hashlib
 import random
 import re
@@ -14,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from crossrank.llm import jaccard, labelled, language, packing, pii, quality, substrings, tokens, toxicity
+from crossrank.llm import common, jaccard, labelled, language, packing, pii, quality, substrings, tokens, toxicity
 
 DATA = "/root/testdata/sf0.001"
 #: A null, empty texts, only blanks, one word, a very long text with and without blanks, odd characters, repeats.
@@ -65,9 +66,57 @@ def test_substrings_equal_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(map(tuple, substrings.deduplicate(df).collect()))
     assert got == brute_windows(rows)
-    docs, _ = substrings.deal(df, "doc_id", "text")
-    many = docs.withColumn("block", F.pmod("doc_id", F.lit(7)))  # the same over several blocks
-    assert substrings.repeats(many, 7).count() > 0
+    many = dataclasses.replace(dealt := substrings.deal(df, "doc_id", "text"), docs=dealt.docs.withColumn("block", F.pmod("doc_id", F.lit(7))))
+    assert substrings.repeats(many).count() > 0  # the same over several blocks
+
+
+def test_words_that_collide_in_a_short_hash(spark):
+    """These two words made edges alike in 31 bits of an unkeyed hash, which hid the branch between them."""
+    shared = " ".join(f"p0x{k}" for k in range(20))
+    rows = [(1, shared + " w0y109094 tail one"), (2, shared + " w0y125704 tail two")]
+    got = sorted(map(tuple, substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute_windows(rows) and got[1][2] == 20
+
+
+def thue_morse(n, swap=False):
+    return "".join("ab"[(bin(k).count("1") + swap) % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_collide_in_a_polynomial(spark, n):
+    """A Thue-Morse word and its complement are equal under each polynomial hash modulo 2^64."""
+    key = common.new_key()
+    h = common.word_hashes(f"{thue_morse(n)} {thue_morse(n, True)} ab ab".encode(), key)[2]
+    assert len(set(h.tolist())) == 3 and h[2] == h[3]
+    rest = [f"w{k}" for k in range(13)]
+    rows = [(i, " ".join([*rest[:7], thue_morse(n, i == 2), *rest[7:]])) for i in (1, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(df).collect()} == brute_groups(rows) == {1: (10, 1), 2: (10, 2)}
+    assert sorted(map(tuple, substrings.deduplicate(df).collect())) == brute_windows(rows)
+
+
+def test_runs_of_two_words_hash_apart():
+    """All runs of 13 words over two words, so also those that a polynomial takes nearest together."""
+    key = common.new_key()
+    h = np.array([common.WordHashes(key)[w] for w in (b"a", b"b")], np.uint64)
+    odd = common.multipliers(key, 13)
+    got = {int(common.windows(h[[k >> j & 1 for j in range(13)]], odd)[0]) for k in range(1 << 13)}
+    assert len(got) == 1 << 13
+
+
+@pytest.mark.parametrize("i", [7, None])
+def test_one_id_on_very_many_rows(spark, monkeypatch, i):
+    import crossrank.llm.blocks as blocks
+
+    monkeypatch.setattr(blocks, "LEAST_BYTES", 256)
+    rows = [(i if k % 3 == 0 else 100 + k, " ".join(f"x{k % 5}y{j}" for j in range(20 + k % 4))) for k in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = blocks.deal(df, "doc_id", "text")
+    assert dealt.blocks > 40 and dealt.docs.filter(F.col("doc_id").eqNullSafe(F.lit(i))).select("block").distinct().count() >= 15
+    order = lambda got: sorted(map(str, got))
+    want = [(None if r[0] == 10**9 else r[0], *r[1:]) for r in brute_windows([(10**9 if x is None else x, t) for x, t in rows])]
+    assert order(map(tuple, substrings.deduplicate(df).collect())) == order(want)
+    assert jaccard.groups(df).count() == 300
 
 
 def test_substrings_over_many_blocks(spark, monkeypatch):
@@ -78,7 +127,7 @@ def test_substrings_over_many_blocks(spark, monkeypatch):
     rows = [(i, " ".join(base[s : s + rnd.randrange(20, 200)])) for i in range(80) for s in [rnd.randrange(200)]]
     monkeypatch.setattr(blocks, "LEAST_BYTES", 256)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert blocks.deal(df, "doc_id", "text")[1] > 20
+    assert blocks.deal(df, "doc_id", "text").blocks > 20
     assert sorted(map(tuple, substrings.deduplicate(df).collect())) == brute_windows(rows)
 
 
