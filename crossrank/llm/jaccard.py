@@ -11,9 +11,10 @@ and pruned so that only pairs that can reach the bound are multiplied:
 4. Within a column the document with the least share of shingles of its own is the hub, and is multiplied with
    the others; documents that come together this way need no product with each other.
 5. Columns whose documents are still apart chain these documents into clusters. A cluster is cut into tiles of
-   documents, and each pair of tiles is one task: a dense product over blocks of the columns that two of its
-   documents share adds up overlaps; pairs below the bound that follows from their sizes are discarded, and of
-   the links only those that bring components together leave the task.
+   documents, those with the same columns together, and each pair of tiles that some column reaches is one task: a
+   dense product over blocks of the columns that two of its documents share adds up overlaps; pairs below the bound
+   that follows from their sizes are discarded, and of the links only those that bring components together leave
+   the task.
 
 No step caps a list: each pair within the bound is either multiplied or already connected. Products with hubs drop
 a pair as soon as what remains of the columns cannot reach the bound.
@@ -42,8 +43,9 @@ SHINGLE = 5
 BOUND = 80
 #: Blocks of columns in a product with a hub.
 COLUMN_BLOCKS = 4
-#: Documents of a tile, fewer where sets are so large that a tile would hold more shingles; columns of a block.
-TILE_DOCS, TILE_SHINGLES, TILE_COLUMNS = 256, 4 << 20, 4096
+#: Documents of a tile, fewer (but so many at least) where sets are so large that a tile would hold more shingles;
+#: columns of a block.
+TILE_DOCS, LEAST_DOCS, TILE_SHINGLES, TILE_COLUMNS = 128, 16, 4 << 20, 4096
 
 
 def _blocks_with(arrays: list[np.ndarray]) -> list[np.ndarray]:
@@ -251,12 +253,21 @@ def links(docs: DataFrame) -> DataFrame:
     apart = written(spark, apart.select("column", "first"), "columns")
     left = written(spark, here.join(apart, "column").select("doc_id", "n", "component", "first").distinct(), "apart")
     cluster = components(left.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster"))
-    nodes = left.select("doc_id", "n", "component").distinct().join(cluster, "doc_id")
-    fit = F.greatest(F.lit(16), F.least(F.lit(TILE_DOCS), F.floor(TILE_SHINGLES / F.max("n"))))
-    tiles = nodes.groupBy("cluster").agg(F.ceil(F.count("*") / fit).alias("tiles"))
-    dealt = nodes.join(tiles, "cluster").withColumn("tile", F.pmod(F.xxhash64("doc_id"), F.col("tiles")))
-    dealt = dealt.select("cluster", "doc_id", "component", "tile", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("with"))
-    dealt = dealt.select("cluster", F.least("tile", "with").alias("t"), F.greatest("tile", "with").alias("u"), "tile", "doc_id", "component")
+    nodes = left.groupBy("doc_id", "n", "component").agg(F.min("first").alias("lump")).join(cluster, "doc_id")
+    # Documents of one lump share a tile as far as it holds them, so that columns reach few tiles.
+    fit = F.greatest(F.lit(LEAST_DOCS), F.least(F.lit(TILE_DOCS), F.floor(TILE_SHINGLES / F.max("n"))))
+    tiles = nodes.groupBy("cluster").agg(fit.alias("fit"), F.ceil(F.count("*") / fit).alias("tiles"))
+    lumps = nodes.groupBy("cluster", "lump").agg(F.count("*").alias("c")).join(tiles, "cluster")
+    spread = F.xxhash64("lump") + F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("c") / F.col("fit")))
+    placed = nodes.join(lumps, ["cluster", "lump"]).select("cluster", "doc_id", "component", "tiles", F.pmod(spread, F.col("tiles")).alias("tile"))
+    placed = written(spark, placed, "tiles")
+    # Only tiles that a column reaches together meet.
+    reached = left.select("doc_id", "first").join(placed.filter("tiles > 1"), "doc_id").select("cluster", "first", "tile").distinct()
+    other = reached.select("cluster", "first", F.col("tile").alias("u"))
+    meet = reached.withColumnRenamed("tile", "t").join(other, ["cluster", "first"]).filter("t <= u").select("cluster", "t", "u").distinct()
+    alone = placed.filter("tiles = 1").select("cluster", F.col("tile").alias("t"), F.col("tile").alias("u")).distinct()
+    each = meet.union(alone).select("*", F.explode(F.array_distinct(F.array("t", "u"))).alias("tile"))
+    dealt = each.join(placed.drop("tiles"), ["cluster", "tile"])
     more = dealt.join(sets, "doc_id").groupBy("cluster", "t", "u").applyInArrow(product, "a long, b long")
     return near.union(written(spark, more, "links"))
 

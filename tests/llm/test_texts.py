@@ -194,17 +194,14 @@ def test_jaccard_equals_brute_force(spark, seed, monkeypatch):
     assert got == brute_groups(rows)
 
 
-def test_jaccard_small_tiles(spark):
+@pytest.mark.parametrize("least", [2, 16])
+def test_jaccard_small_tiles(spark, monkeypatch, least):
     """Tiles are smaller than a group (its sets are held to few shingles), so links cross tiles."""
     rows = near_copies(3)
-    want = brute_groups(rows)
-    old = jaccard.TILE_SHINGLES, jaccard.TILE_COLUMNS
-    jaccard.TILE_SHINGLES, jaccard.TILE_COLUMNS = 1, 64
-    try:
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    finally:
-        jaccard.TILE_SHINGLES, jaccard.TILE_COLUMNS = old
-    assert got == want
+    for name, value in (("TILE_SHINGLES", 1), ("TILE_COLUMNS", 64), ("LEAST_DOCS", least)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_groups(rows)
 
 
 @given(st.sets(st.integers(-(2**63), 2**63 - 1), max_size=40), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=8), st.sets(st.integers(-(2**63), 2**63 - 1), max_size=8))
