@@ -98,12 +98,37 @@ def test_words_that_collide_in_a_polynomial(spark, n):
 def test_runs_of_two_words_hash_apart():
     """All runs of 13 words over two words, so also those that a polynomial takes nearest together."""
     key = common.new_key()
-    h = np.array([common.WordHashes(key)[w] for w in (b"a", b"b")], np.uint64)
+    h = common.word_hashes(b"a b", key)[2]
     odd = common.multipliers(key, 13)
     got = {int(common.windows(h[[k >> j & 1 for j in range(13)]], odd)[0]) for k in range(1 << 13)}
     assert len(got) == 1 << 13
 
 
+@given(st.lists(st.binary(min_size=1, max_size=80).map(lambda b: bytes(x + 33 if x < 33 else x for x in b)), min_size=1, max_size=20))
+@settings(max_examples=200, deadline=None)
+def test_word_hashes_are_polynomials_at_a_secret_point(words_):
+    """Against Python's own integers; a piece boundary changes nothing."""
+    key, prime = b"k" * 16, (1 << 61) - 1
+    point = int.from_bytes(common.digest(b"point", key, 8), "little") % prime
+    raw = b" \n".join(words_)
+    start, end, h = common.word_hashes(raw, key)
+    assert [raw[s:e] for s, e in zip(start, end)] == words_
+    for w, x in zip(words_, h.tolist()):
+        if len(w) > common.LONGEST:
+            assert x == int.from_bytes(common.digest(w, key, 8), "little")
+            continue
+        y = len(w)
+        for k in range(0, len(w), 7):
+            y = (y * point + int.from_bytes(w[k : k + 7], "little")) % prime
+        assert x == int(common.mix(np.array([y + 1], np.uint64))[0])
+    old = common.PIECE
+    try:
+        common.PIECE = 16
+        assert all((a == b).all() for a, b in zip(common.word_hashes(raw, key), (start, end, h)))
+    finally:
+        common.PIECE = old
+
+
 @pytest.mark.parametrize("i", [7, None])
 def test_one_id_on_very_many_rows(spark, monkeypatch, i):
     import crossrank.llm.blocks as blocks
