@@ -1,34 +1,40 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-The matrix of log-probabilities has a fixed number of rows and at most ``MAX_LANGUAGES`` columns, so it goes
-to the executors as a broadcast. Whole texts are scored, many at once, by gathers and segment sums in numpy.
-
-Cases: a null text, or one without a letter, is ``und`` with score 0; rows whose language or id is null are
-never learned from; without any row to learn from, all texts are ``und``. Repeated rows each give a row.
+A language's log-probabilities are one row of a table, of a fixed size. Up to ``PASS_LANGUAGES`` of them go to the
+executors as one broadcast matrix; if there are more, texts pass by one matrix after another and keep the best label
+and the sum so far, so no language is left out. Whole texts are scored, many at once, by gathers and segment sums
+in numpy. A language's share is that of all rows that may be learned from, not of the sample.
+
+Cases: a null text, or one without a letter (Unicode category L: no digits, fractions or numeral signs), is ``und``
+with score 0; rows whose language, text or id is null are never learned from; without any row to learn from, all
+texts are ``und``. Of equally likely languages the first by name is taken. Rows that repeat id and text are learned
+from once; each gives a row.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from crossrank.llm.common import fold, table
+from crossrank.llm.common import fold, fresh, table, written
 
 #: Hash buckets for each n-gram order, and the orders.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
-#: Rows learned from for each language at most (those with the least hash of their id), and languages at most.
-LEARN_ROWS, MAX_LANGUAGES = 3000, 256
+#: Rows learned from for each language at most (those with the least hash of id and text), and groups they are dealt into.
+LEARN_ROWS, DEALT = 3000, 16
+#: Languages of a pass (their matrix has 200 KB each), and those whose gathers are held at once.
+PASS_LANGUAGES, HELD = 256, 16
 SMOOTH = 0.5
 #: Characters handled at once; longer texts go in slices that overlap by the longest n-gram.
 SLICE = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 
 
 def grams(codes: np.ndarray) -> np.ndarray:
@@ -77,71 +83,101 @@ def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
     """Sums of the log-probabilities of all n-grams: texts by languages."""
     out = np.zeros((len(texts), logs.shape[1]))
     logs = np.concatenate([logs, np.zeros((1, logs.shape[1]), logs.dtype)])  # what bucket -1 adds
+    held = [np.ascontiguousarray(logs[:, k : k + HELD]) for k in range(0, logs.shape[1], HELD)]
     for g, starts, owner in slices(texts):
-        each = logs[g[0]] + logs[g[1]] + logs[g[2]]
-        np.add.at(out, owner, np.add.reduceat(each, starts, axis=0, dtype=float))
+        for k, part in enumerate(held):
+            each = part[g[0]] + part[g[1]] + part[g[2]]
+            np.add.at(out[:, k * HELD : (k + 1) * HELD], owner, np.add.reduceat(each, starts, axis=0, dtype=float))
     return out
 
 
-def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, their log-shares and the log-probability matrix, from ``doc_id, text, lang``.
+def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> DataFrame:
+    """A written table ``lang, n, logs``: a language, its rows, and its log-probabilities, from ``doc_id, text, lang``.
 
-    The rows of each language with the least hash of their id are chosen before any text is read. A language's
-    count tells below which hash about twice as many lie, so few rows of even the commonest one are ranked.
+    The rows of each language with the least hash are chosen by a bound on the hash. A language's count tells below
+    which hash about twice as many lie, so few rows of even the commonest one are ranked.
     """
-    spark = df.sparkSession
     named = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(seed_col).isNotNull())
-    draw = F.xxhash64(seed_col).cast("double") / 2.0**64 + 0.5
-    sizes = named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    limits = spark.createDataFrame([(r.lang, min(1.0, 2.0 * rows / r["count"]) if r["count"] > 4 * rows else 1.0) for r in sizes], "lang string, upto double")
-    order = Window.partitionBy("lang").orderBy("draw", seed_col)
-    drawn = named.select(seed_col, "lang", draw.alias("draw")).join(F.broadcast(limits), "lang").filter("draw <= upto")
-    chosen = drawn.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).select(seed_col).distinct()
-    sample = named.join(F.broadcast(limits), "lang", "left_semi").join(F.broadcast(chosen), seed_col, "left_semi").select("lang", "text")
-
-    def count(group: pa.Table) -> pa.Table:
-        total = np.zeros(BUCKETS * len(ORDERS))
-        n = 0
-        for chunk in group.column("text").chunks:
-            texts = chunk.to_pylist()
-            n += len(texts)
-            for g, _, _ in slices(texts):
-                total += np.bincount(g.ravel() + 1, minlength=len(total) + 1)[1:]
-        return pa.table({"lang": [group.column("lang")[0].as_py()], "n": [n], "counts": [total.tobytes()]})
-
-    got = sorted(sample.groupBy("lang").applyInArrow(count, "lang string, n long, counts binary").collect(), key=lambda r: (-r.n, r.lang))[:MAX_LANGUAGES]
-    if not got:
-        return [], np.zeros(0), np.zeros((BUCKETS * len(ORDERS), 0), np.float32)
-    got.sort(key=lambda r: r.lang)
-    counts = np.stack([np.frombuffer(r.counts) for r in got], 1).reshape(len(ORDERS), BUCKETS, -1) + SMOOTH
-    logs = np.log(counts / counts.sum(1, keepdims=True)).reshape(BUCKETS * len(ORDERS), -1)
-    shares = np.array([r.n for r in got], float)
-    return [r.lang for r in got], np.log(shares / shares.sum()), logs.astype(np.float32)
-
-
-def annotate(df: DataFrame, langs: list[str], shares: np.ndarray, logs: np.ndarray, text_col: str = "text", label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
-    """``df`` with the language and its posterior in columns ``label_to`` and ``score_to``, in place of such columns."""
-    model = df.sparkSession.sparkContext.broadcast((langs, shares, logs))
-    df = df.drop(label_to, score_to)
-    at_text, names_out = df.columns.index(text_col), [*df.columns, label_to, score_to]
-    schema = T.StructType([*df.schema.fields, T.StructField(label_to, T.StringType()), T.StructField(score_to, T.DoubleType())])
+    named = named.select("lang", "text", (F.xxhash64(seed_col, "text").cast("double") / 2.0**64 + 0.5).alias("draw"))
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("d"))
+    upto = F.when(F.col("d") > 4 * rows, F.lit(2.0 * rows) / F.col("d")).otherwise(1.0)
+    few = named.select("lang", "draw").join(sizes.select("lang", upto.alias("upto")), "lang").filter("draw <= upto").distinct()
+    order = Window.partitionBy("lang").orderBy("draw")
+    last = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).groupBy("lang").agg(F.max("draw").alias("last"))
+    last = written(df.sparkSession, last.join(sizes.select("lang", "n"), "lang"), "languages")
+    sample = named.join(last.select("lang", "last"), "lang").filter("draw <= last").dropDuplicates(["lang", "draw"])
+    size = BUCKETS * len(ORDERS)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[str, np.ndarray] = {}
+
+        def so_far() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(total, pa.string()), pa.array([t.tobytes() for t in total.values()], pa.binary())], ["lang", "counts"])
+            total.clear()
+            return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, prior, matrix = model.value
         for b in batches:
-            texts = [t or "" for t in b.column(at_text).to_pylist()]
-            known = np.array([bool(_LETTER(t)) for t in texts], bool) & bool(names)
-            label, score = ["und"] * len(texts), np.zeros(len(texts))
-            at = np.flatnonzero(known)
-            if len(at):
-                s = scores([texts[i] for i in at], matrix) + prior
-                best = s.argmax(1)
-                score[at] = 1 / np.exp(s - s.max(1, keepdims=True)).sum(1)
-                for i, k in zip(at.tolist(), best.tolist(), strict=True):
-                    label[i] = names[k]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(label, pa.string()), pa.array(score)], names_out)
-
-    return df.mapInArrow(run, schema)
+            langs = b.column(0).to_pylist()
+            for lang in dict.fromkeys(langs):
+                here = total.setdefault(lang, np.zeros(size))
+                for g, _, _ in slices([t.as_py() for t, k in zip(b.column(1), langs, strict=True) if k == lang]):
+                    here += np.bincount(g.ravel() + 1, minlength=size + 1)[1:]
+                if len(total) >= PASS_LANGUAGES:
+                    yield so_far()
+        yield so_far()
+
+    def add(group: pa.Table) -> pa.Table:
+        counts = sum(np.frombuffer(x.as_py()) for x in group.column("counts")).reshape(len(ORDERS), BUCKETS) + SMOOTH
+        logs = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
+        return pa.table({"lang": [group.column("lang")[0].as_py()], "logs": pa.array([logs.tobytes()], pa.binary())})
+
+    dealt = sample.select("lang", "text", F.pmod(F.hash("draw"), F.lit(DEALT)).alias("deal")).repartition("lang", "deal").select("lang", "text")
+    logs = dealt.mapInArrow(count, "lang string, counts binary").groupBy("lang").applyInArrow(add, "lang string, logs binary")
+    return written(df.sparkSession, logs.join(last.select("lang", "n"), "lang").select("lang", "n", "logs"), "language-model")
+
+
+def annotate(df: DataFrame, model: DataFrame, text_col: str = "text", label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
+    """``df`` with the language and its posterior in columns ``label_to`` and ``score_to``, in place of such columns."""
+    context = df.sparkSession.sparkContext
+    df = df.drop(label_to, score_to)
+    sizes = {r.lang: r.n for r in model.select("lang", "n").collect()}
+    names, total, columns = sorted(sizes), sum(sizes.values()), df.columns
+    passes = [names[k : k + PASS_LANGUAGES] for k in range(0, len(names), PASS_LANGUAGES)] or [[]]
+    top, mass = fresh(df, "top"), fresh(df, "mass")  # the best log-probability, and the logarithm of the sum of all
+    state = [T.StructField(label_to, T.StringType()), T.StructField(top, T.DoubleType()), T.StructField(mass, T.DoubleType())]
+    at_text, n = columns.index(text_col), len(columns)
+
+    def one(known: list[str], first: bool):
+        """A step that weighs the given languages."""
+        got = {r.lang: r.logs for r in model.filter(F.col("lang").isin(known)).collect()} if known else {}
+        logs = np.stack([np.frombuffer(got[x], np.float32) for x in known], 1) if known else np.zeros((0, 0), np.float32)
+        shared = context.broadcast((known, np.log([sizes[x] / total for x in known]), logs))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here, prior, matrix = shared.value
+            for b in batches:
+                size = b.num_rows
+                label = ["und"] * size if first else b.column(n).to_pylist()
+                best = np.full(size, -np.inf) if first else b.column(n + 1).to_numpy().copy()
+                sums = np.full(size, -np.inf) if first else b.column(n + 2).to_numpy().copy()
+                texts = b.column(at_text).to_pylist()
+                at = [i for i, t in enumerate(texts) if here and t and _LETTER(t)]
+                if at:
+                    s = scores([texts[i] for i in at], matrix) + prior
+                    most = s.argmax(1)
+                    for k, i in enumerate(at):
+                        sums[i] = np.logaddexp(sums[i], np.logaddexp.reduce(s[k]))
+                        if s[k, most[k]] > best[i]:
+                            best[i], label[i] = s[k, most[k]], here[most[k]]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(label, pa.string()), pa.array(best), pa.array(sums)], [*columns, label_to, top, mass])
+
+        return run
+
+    schema = T.StructType([*df.schema.fields, *state])
+    for k, known in enumerate(passes):
+        df = df.mapInArrow(one(known, k == 0), schema)
+    score = F.when(F.col(top) > float("-inf"), F.least(F.lit(1.0), F.exp(F.col(top) - F.col(mass)))).otherwise(0.0)
+    return df.select(*[F.col(f"`{c}`") for c in columns], label_to, score.alias(score_to))
 
 
 #: Learned from the folds of crc32(doc_id) mod 3 other than this one.
@@ -150,8 +186,8 @@ FOLDS, HELD_OUT = 3, 1
 
 def identify(docs: DataFrame, label_to: str = "lang_pred", score_to: str = "score") -> DataFrame:
     """Languages of all documents, learned from the named languages outside the held-out fold."""
-    langs, shares, logs = learn(docs.select("doc_id", "text", "lang").filter(fold("doc_id", FOLDS) != HELD_OUT))
-    return annotate(docs, langs, shares, logs, "text", label_to, score_to)
+    model = learn(docs.select("doc_id", "text", "lang").filter(fold("doc_id", FOLDS) != HELD_OUT))
+    return annotate(docs, model, "text", label_to, score_to)
 
 
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:

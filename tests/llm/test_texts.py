@@ -428,27 +428,82 @@ def test_language_held_out(docs):
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
-def test_language_scores_equal_plain_sums():
+def plain_buckets(text):
+    """Buckets of all 1- to 3-grams of a text, from Python's own integers; two blanks follow a text."""
+    m, low, size = 0x9E3779B1, 0xFFFFFFFF, language.BUCKETS
+    codes, out = [ord(c) for c in text.lower()] + [32, 32], []
+    for k in range(len(codes) - 2):
+        h = codes[k] * m & low
+        for order, odd in enumerate((None, 0x85EBCA77, 0xC2B2AE3D)):
+            if odd:
+                h = (h ^ (codes[k + order] * odd & low)) * m & low
+            out.append(order * size + (h * size >> 32))
+    return out
+
+
+def test_language_scores_equal_plain_sums(monkeypatch):
     rng = np.random.default_rng(0)
-    logs = rng.normal(size=(language.BUCKETS * 3, 3)).astype(np.float32)
-    texts = ["abc", "", "Ä\U0001f600 b", "x" * 500]
-    old = language.SLICE
-    try:
-        language.SLICE = 64
-        got = language.scores(texts, logs)
-    finally:
-        language.SLICE = old
-    for t, s in zip(texts, got):
-        codes = np.frombuffer((t.lower() + "  ").encode("utf-32-le"), "<u4")
-        want = logs[language.grams(codes)].sum((0, 1)) if t else np.zeros(3)
-        assert np.allclose(s, want, rtol=1e-4)
+    logs = rng.normal(size=(language.BUCKETS * 3, 37)).astype(np.float32)
+    texts = ["abc", "", "Ä\U0001f600 b", "x" * 500, "Ünter den Linden"]
+    monkeypatch.setattr(language, "SLICE", 64)
+    for t, s in zip(texts, language.scores(texts, logs)):
+        want = logs[plain_buckets(t)].astype(float).sum(0) if t else np.zeros(37)
+        assert np.allclose(s, want, rtol=1e-4, atol=1e-4)
+
+
+def test_language_model_equals_plain_counts(spark, docs, monkeypatch):
+    """Labels and posteriors from counts in a plain loop; shares are of all rows, though only 40 a language are learned from."""
+    few = docs.filter("doc_id < 150 and length(text) < 3000")
+    rows = few.collect()
+    for passes in (256, 1):
+        monkeypatch.setattr(language, "PASS_LANGUAGES", passes)
+        model = language.learn(few, rows=10**6)
+        got = {r.doc_id: r for r in language.annotate(few, model).collect()}
+        counts, share = {}, Counter(r.lang for r in rows)
+        for r in rows:
+            counts.setdefault(r.lang, Counter()).update(plain_buckets(r.text))
+        logs = {}
+        for lang, c in counts.items():
+            full = np.array([c[k] + language.SMOOTH for k in range(3 * language.BUCKETS)]).reshape(3, -1)
+            logs[lang] = np.log(full / full.sum(1, keepdims=True)).ravel()
+        for r in rows[::7]:
+            s = {lang: logs[lang][plain_buckets(r.text)].sum() + np.log(share[lang] / len(rows)) for lang in logs}
+            best = min(s, key=lambda x: (-s[x], x))
+            assert got[r.doc_id].lang_pred == best and got[r.doc_id].score == pytest.approx(1 / sum(np.exp(v - s[best]) for v in s.values()), abs=1e-2)
+    small = language.learn(few, rows=5)
+    assert {r.lang: r.n for r in small.collect()} == share
+
+
+def test_many_languages_are_all_learned(spark):
+    """300 languages, each with letters of its own; in two passes."""
+    rows = [(1000 * k + j, "".join(chr(0x4E00 + 7 * k + x) for x in (j % 7, 3, 5)) * 3, f"l{k:03}") for k in range(300) for j in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df)
+    assert model.count() == 300
+    got = {r.doc_id: r for r in language.annotate(df, model).collect()}
+    assert all(got[i].lang_pred == lang and 0 < got[i].score <= 1 for i, _, lang in rows)
+
+
+def test_signs_that_are_no_letters(spark, docs):
+    signs = ["²", "½", "Ⅷ", "①", "12 ٣", "_ - !", "\U0001f600", "ª", "ß", "中", "ʰ"]
+    df = spark.createDataFrame(list(enumerate(signs)), "doc_id long, text string")
+    got = {r.doc_id: r.lang_pred for r in language.annotate(df, language.learn(docs.filter("doc_id < 60"))).collect()}
+    assert [got[k] == "und" for k in range(len(signs))] == [True] * 7 + [False] * 4
+
+
+def test_repeated_rows_are_learned_from_once(spark):
+    """A thousand copies of one row among 30 others: a sample of 20 still has 20 different rows."""
+    rows = [(1, "copy of a text", "aa")] * 1000 + [(2 + k, f"text number {k}", "aa") for k in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = language.learn(df, rows=20)
+    assert [(r.lang, r.n) for r in seen.collect()] == [("aa", 1030)]
 
 
 def test_language_odd_rows(odd, docs):
     got = language.identify(odd).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got} == {"und"} and {r.score for r in got} == {0.0}  # nothing to learn from
     model = language.learn(docs.filter("doc_id < 60"))
-    some = {r.doc_id: r for r in language.annotate(odd, *model).collect()}
+    some = {r.doc_id: r for r in language.annotate(odd, model).collect()}
     assert some[1].lang_pred == some[2].lang_pred == some[3].lang_pred == "und" and some[4].lang_pred != "und" and some[4].block == 7
     assert language.identify(odd.limit(0)).count() == 0
 
