@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 
@@ -39,31 +42,74 @@ def test_topk_is_exact(spark, shard, monkeypatch):
     assert got == exact(x, np.arange(len(x)), inner, largest=True)
 
 
-def test_dual_tree_prunes_and_stays_exact(monkeypatch):
-    rng = np.random.default_rng(1)
-    centres = 3000 * rng.normal(size=(40, 6))
-    rows = np.floor(np.repeat(centres, 200, 0) + rng.normal(size=(8000, 6)))
-    asked, ids = rows[::37], np.arange(8000)
-    q, v, s = topk.dual(rows, ids, asked, ids[::37], 10)
-    full = asked @ rows.T
-    full[np.arange(len(asked)), ids[::37]] = -np.inf
-    for k, i in enumerate(ids[::37]):
-        order = np.lexsort((ids, -full[k]))[:10]
-        assert v[q == i].tolist() == order.tolist() and s[q == i].tolist() == full[k][order].tolist()
+def plain_products(x, y):
+    """Inner products of floor(1024 x) in Python's integers."""
+    a, b = ([[math.floor(1024 * Fraction(float(c))) for c in r] for r in z] for z in (x, y))
+    return [[sum(i * j for i, j in zip(p, q)) for q in b] for p in a]
 
 
-def test_cover_radii_hold():
+def test_dual_tree_prunes_and_stays_exact():
+    """500 queries make a tree with inner nodes; clusters far apart let most pairs of nodes go."""
+    rng = np.random.default_rng(1)
+    centres = 3 * rng.normal(size=(40, 6))
+    rows = np.repeat(centres, 200, 0) + rng.normal(size=(8000, 6)) / 1000
+    asked, ids = rows[::16], np.arange(8000)
+    tree = topk.cover_tree(np.floor(1024 * asked), np.arange(500), topk.QUERY_LEAF)
+    assert tree.children and any(c.children for c in tree.children)
+    q, v, s, done = topk.dual(rows, ids, asked, ids[::16], 10)
+    assert done["pruned"] > 100 and done["products"] < 0.2 * 500 * 8000
+    full = np.floor(1024 * asked) @ np.floor(1024 * rows).T
+    full[np.arange(len(asked)), ids[::16]] = -np.inf
+    for k, i in enumerate(ids[::16]):
+        order = np.lexsort((ids, -full[k]))[:10]
+        assert v[q == i].tolist() == order.tolist() and [x for x, j in zip(s, q) if j == i] == full[k][order].tolist()
+
+
+@pytest.mark.parametrize(("size", "kind"), [(1.0, np.float64), (1e5, np.int64), (1e9, object), (1e200, object)])
+def test_large_components_stay_exact(size, kind):
+    rng = np.random.default_rng(5)
+    rows = size * rng.normal(size=(300, 8))
+    rows[::3] /= size  # short vectors among long ones
+    ids = np.arange(300)
+    assert topk.exact_type(rows, rows[::100]) is kind
+    q, v, s, _ = topk.dual(rows, ids, rows[::100], ids[::100], 10)
+    want = [(i, j, -x) for i, r in zip((0, 100, 200), plain_products(rows[::100], rows)) for x, j in sorted((-x, j) for j, x in enumerate(r) if j != i)[:10]]
+    assert list(zip(q.tolist(), v.tolist(), s)) == want
+
+
+def test_scores_beyond_a_long(spark):
+    """At 1e5 and 3e6 all fits; far above, the query fails rather than give a wrong number."""
+    wide = "vec_id long, embedding array<double>, label int"
+    rng = np.random.default_rng(6)
+    for size in (1e5, 3e5):
+        x = size * rng.normal(size=(300, 8))
+        df = spark.createDataFrame([(i, r.tolist(), 0) for i, r in enumerate(x)], wide)
+        want = [(i, k + 1, j, -s) for i, r in zip((0, 100, 200), plain_products(x[::100], x)) for k, (s, j) in enumerate(sorted((-s, j) for j, s in enumerate(r) if j != i)[:10])]
+        assert ordered(topk.search(df)) == want
+    for x in ([[1e9], [1e9]], [[1e9], [-1e9]], [[1e308], [1.0]]):
+        with pytest.raises(Exception, match="64-bit"):
+            topk.search(spark.createDataFrame([(i, r, 0) for i, r in enumerate(x)], wide)).collect()
+    few = [(0, [1e9], 0), (1, [-1e9], 0), *[(k, [float(k % 5)], 0) for k in range(2, 20)]]  # too low a score that is not among the best
+    assert len(ordered(topk.search(spark.createDataFrame(few, wide)))) == 10
+
+
+def test_cover_tree_invariants():
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(900, 5))
+    x = np.concatenate([rng.normal(size=(900, 5)), 2.0 ** np.arange(0, 300)[:, None] * np.ones(5), np.zeros((100, 5))])
 
-    def walk(n):
-        assert (np.linalg.norm(x[n.points] - n.centre, axis=1) <= n.radius).all()
+    def walk(n, level):
+        far = np.linalg.norm(x[n.points] - n.centre, axis=1)
+        assert (far <= n.radius).all() and far[0] == 0 and level <= topk.DEEPEST
         if n.children:
-            assert sorted(np.concatenate([c.points for c in n.children])) == sorted(n.points)
+            assert len(n.children) <= topk.CHILDREN and sorted(np.concatenate([c.points for c in n.children])) == sorted(n.points)
+            c = np.array([m.centre for m in n.children])
+            apart = np.linalg.norm(c[:, None] - c[None], axis=2)[~np.eye(len(c), dtype=bool)]
+            assert apart.min() >= n.cover * (1 - 1e-9) and n.cover < n.radius
+            assert all(np.linalg.norm(x[m.points] - m.centre, axis=1).max() <= n.cover * (1 + 1e-9) for m in n.children)
         for c in n.children:
-            walk(c)
+            walk(c, level + 1)
 
-    walk(topk.cover_tree(x, np.arange(900), 20))
+    walk(topk.cover_tree(x, np.arange(len(x)), 20), 0)
 
 
 def distance(x, q):
