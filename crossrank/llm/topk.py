@@ -10,7 +10,9 @@ Components are whole numbers and leaves are multiplied as matrices, exactly: in
 two lengths reaches 2^53, in 64-bit integers below 2^63, and in Python's integers beyond. A score among the results
 that no long can hold is an error, never a wrong number.
 
-Each shard of rows has a tree; shards are searched apart, and each query's best are merged.
+Rows are dealt by their nearest of a bounded number of pivots, and those of a pivot into lists; each list has a tree, and
+each query's best of all lists are merged. A query goes only to lists whose pivot and radius can reach the kth score
+that the query has within a bounded sample, which is a floor under its true kth score.
 
 Cases: rows with a null id, a null vector, null or non-finite components or another length than the commonest take no
 part; zero vectors do; a query's own id is no candidate; repeated rows are candidates each, and one query; ties go to
@@ -28,11 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crossrank.llm import vectors
 from crossrank.llm.common import table
-from crossrank.llm.vectors import EVERY, TOP, best, query_blocks, shards_for, stacked, to_parts, usable
+from crossrank.llm.vectors import TOP, best, codebook, listed, lists, meet, nearest, queries, sample, stacked, tally, usable, visits
 
 #: Points of a leaf of rows, of a leaf of queries (of which there are far fewer), and children of a node, at most.
 LEAF, QUERY_LEAF, CHILDREN = 256, 32, 16
+#: Pivots at most.
+PIVOTS = 256
 SCALE = 1024
 #: Scores from -LONG to below LONG fit a long.
 LONG = 1 << 63
@@ -152,24 +157,64 @@ def dual(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.nda
     return np.repeat(asked_ids, top)[at], found.ravel()[at], [int(s) for s in scores.ravel()[at].tolist()], done
 
 
+class Pivots:
+    """Pivots that rows are dealt by, and for each query a floor under its kth score: the kth within a sample.
+
+    A pivot whose rows all score below the floor is not visited. Where doubles overflow, all are.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray) -> None:
+        with np.errstate(over="ignore"):
+            y = np.floor(SCALE * x)
+            finite = y[np.isfinite((y**2).sum(1))]
+        self.ids, self.y = ids, y
+        self.pivots = codebook(finite, max(1, min(PIVOTS, len(finite) // LEAF)), 3) if len(finite) else np.zeros((1, x.shape[1]))
+
+    def cells_of(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest pivot, and the distance to it."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = np.floor(SCALE * v)
+            cell = np.nan_to_num(nearest(y, self.pivots), nan=0.0).argmin(1)
+            far = np.sqrt(((y - self.pivots[cell]) ** 2).sum(1))
+        return cell, np.nan_to_num(far, nan=np.inf, posinf=np.inf)
+
+    def visit(self, q_id: int, q: np.ndarray, radius: np.ndarray, top: int) -> np.ndarray:
+        """Pivots whose rows may be among the best ``top``; ``radius``: the farthest row of each."""
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = np.floor(SCALE * q)
+            length = np.sqrt((y**2).sum())
+            s = (self.y @ y)[self.ids != q_id]
+            floor = np.partition(s, len(s) - top)[len(s) - top] if len(s) >= top else -np.inf
+            floor -= SLACK * length * np.sqrt((self.y**2).sum(1)).max()
+            reach = self.pivots @ y + length * radius
+            reach += SLACK * length * (np.sqrt((self.pivots**2).sum(1)) + radius)
+            return np.flatnonzero(~(reach < floor))
+
+
 def search(df: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score`` of the scaled whole-number vectors, for the ids that ``EVERY`` divides."""
+    spark = df.sparkSession
     rows = usable(df, id_col, vec_col)
-    total = rows.count()
-    shards = shards_for(total)
-    queries, parts = query_blocks(rows.filter(F.col("vec_id") % EVERY == 0), total, shards)
-
-    def scan(key, here: pa.Table, asked: pa.Table) -> pa.Table:
+    ids, x = sample(rows)
+    if len(x) < 2:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    made = Pivots(ids, x)
+    shared = spark.sparkContext.broadcast(made)  # a bounded sample
+    cells_of = lambda v: shared.value.cells_of(v)
+    sizes, radius = tally(rows, cells_of, len(made.pivots))
+    first, parts = lists(sizes, vectors.SHARD_ROWS)
+
+    def scan(here: pa.Table, asked: pa.Table) -> pa.Table:
         q_id, v_id, score = np.empty(0, np.int64), np.empty(0, np.int64), []
         if here.num_rows and asked.num_rows:
             q_id, v_id, score, _ = dual(stacked(here.column("vec")), here.column("vec_id").to_numpy(), stacked(asked.column("vec")), asked.column("vec_id").to_numpy(), top)
         if score and max(score) >= LONG:
             raise OverflowError(f"the inner product {max(score)} is beyond a 64-bit integer")
-        score = [s if s >= -LONG else None for s in score]  # an error only if it is among the best of all shards
+        score = [s if s >= -LONG else None for s in score]  # an error only if it is among the best of all lists
         return pa.table({"query_id": pa.array(q_id, pa.int64()), "vec_id": pa.array(v_id, pa.int64()), "score": pa.array(score, pa.int64())})
 
-    pairs = to_parts(rows, shards, parts).groupBy("shard", "part").cogroup(queries.groupBy("shard", "part"))
-    found = best(pairs.applyInArrow(scan, "query_id long, vec_id long, score long"), F.desc("score"), top)
+    seen = visits(queries(rows), lambda i, q: (at := shared.value.visit(i, q, radius, top))[sizes[at] > 0], first, parts)
+    found = best(meet(listed(rows, cells_of, first, parts), seen, scan, "query_id long, vec_id long, score long"), F.desc("score"), top)
     below = F.raise_error(F.lit("an inner product is below a 64-bit integer")).cast("long")
     return found.withColumn("score", F.when(F.col("score").isNull(), below).otherwise(F.col("score")))
 

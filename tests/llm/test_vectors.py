@@ -3,6 +3,8 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from crossrank.llm import ann, topk
 from crossrank.llm import vectors as vs
@@ -132,6 +134,61 @@ def test_ann_recall(spark, kind, monkeypatch):
     assert all(abs(s - np.sqrt(((x[q] - x[v]) ** 2).sum())) == 0 for (q, v), s in near.items())
 
 
+def test_only_visited_rows_are_measured():
+    """Distances taken equal the rows of the visited cells, less the query's own, over all lists."""
+    rng = np.random.default_rng(9)
+    x = np.repeat(5 * rng.normal(size=(30, 16)), 100, 0) + 0.1 * rng.normal(size=(3000, 16))
+    made = ann.Index(x[:1000])
+    share = made.share(x[:1000], 10)
+    assert share < 0.2
+    cell = made.cells_of(x)[0]
+    sizes = np.bincount(cell, minlength=made.cells)
+    first, parts = vs.lists(sizes, 400)
+    own = first[cell] + np.arange(3000) % parts[cell]
+    assert np.bincount(own).max() <= 400 + parts.max() and len(set(own)) > 5
+    for q in range(0, 3000, 100):
+        a, b = made.distances(x[q][None])
+        seen = ann.visited(a[0], b[0], sizes.reshape(len(made.one), -1), int(share * 3000)).ravel()
+        took, met = 0, set()
+        for k in {int(k) + j for c in np.flatnonzero(seen & (sizes > 0)) for k, j in zip([first[c]] * parts[c], range(parts[c]))}:
+            at = np.flatnonzero(own == k)
+            near, _, n = ann.rerank(x[at], at, cell[at], x[q], q, np.flatnonzero(seen), 10)
+            took, met = took + n, met | set(near.tolist())
+        assert took == sizes[seen].sum() - 1 < 0.3 * 3000
+        want = np.argsort(((x - x[q]) ** 2).sum(1), kind="stable")[1:11]
+        assert len(met & set(want.tolist())) >= 7
+
+
+@given(st.lists(st.integers(0, 50), min_size=1, max_size=40), st.integers(1, 20))
+@settings(max_examples=200, deadline=None)
+def test_lists_hold_about_as_many_rows(sizes, rows):
+    first, parts = vs.lists(np.array(sizes), rows)
+    load = {}
+    for n, f, p in zip(sizes, first.tolist(), parts.tolist()):
+        for k in range(p):
+            load.setdefault(f + k, []).append((n, p))
+    assert all((len(v) == 1 and v[0][0] <= v[0][1] * rows) or sum(n for n, _ in v) <= rows for v in ([x for x in v if x[0]] for v in load.values()) if v)
+    assert first.tolist() == sorted(first.tolist())
+
+
+def test_topk_visits_only_lists_that_can_hold_results():
+    rng = np.random.default_rng(11)
+    x = np.repeat(5 * rng.normal(size=(20, 6)), 400, 0) + 0.01 * rng.normal(size=(8000, 6))
+    made = topk.Pivots(np.arange(8000), x)
+    cell, far = made.cells_of(x)
+    radius = np.zeros(len(made.pivots))
+    np.maximum.at(radius, cell, far)
+    y = np.floor(1024 * x)
+    total = 0
+    for q in range(0, 8000, 400):
+        s = y @ y[q]
+        s[q] = -np.inf
+        seen = made.visit(q, x[q], radius, 10)
+        assert set(cell[np.lexsort((np.arange(8000), -s))[:10]]) <= set(seen.tolist())
+        total += len(seen)
+    assert total < 0.5 * 20 * len(made.pivots)
+
+
 def test_cells_are_visited_by_summed_distance():
     rng = np.random.default_rng(4)
     a, b, sizes = rng.random(7), rng.random(9), rng.integers(0, 5, (7, 9))
@@ -157,5 +214,5 @@ def test_odd_rows(spark):
     assert [(r[0], r[2], r[3]) for r in best if r[0] == 100] == [(100, 0, 1048576), (100, 2, 524288), (100, 2, 524288), (100, 1, 0), (100, 4, 0)]
     for empty in (df.limit(0), df.filter("vec_id = 3"), df.filter("vec_id = 0")):
         assert ann.search(empty).count() == 0 and topk.search(empty).count() == 0
-    clash = df.selectExpr("*", "1 as vec", "2 as shard", "3 as part", "4 as cell", "5 as score")
+    clash = df.selectExpr("*", "1 as vec", "2 as shard", "3 as part", "4 as cell", "5 as score", "6 as list", "7 as cells", "8 as share")
     assert ordered(ann.search(clash)) == near and ordered(topk.search(clash)) == best
