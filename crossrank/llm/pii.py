@@ -1,14 +1,20 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words adjust a score.
 
-DataFrame functions only. For each kind the text is split at the pattern's matches; the lengths of the
-gaps and matches give every span's place in code points, in one pass that is linear in the text.
+DataFrame functions only. For each kind the text is split at the pattern's matches; running sums of the lengths of
+gaps and matches give every span's place in code points. Sums double their stride in each round, so n spans take n log n
+steps and no list is copied for each span. Masking cuts the text into pieces of equal length first, so that no span
+is sought from the start of the text. Context words count on both sides of a span: within ``CONTEXT_CHARS`` of it, as
+far as the match of the same kind after the next one.
 
 Cases: a null text counts as empty; a text without spans gives zero counts and empty strings; a row with
-a null id is kept; repeated rows each give a row; of extra columns only id and text are read.
+a null id is kept; repeated rows each give a row; of extra columns only id and text are read. Of spans that start
+together the kind listed first comes first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +46,8 @@ CONTEXT = {
 }
 #: Score of a span whose pattern alone speaks for it, and what a checksum and a context word add.
 PATTERN_SCORE, CHECK_SCORE, CONTEXT_SCORE = 0.5, 0.35, 0.15
-#: Characters before a span in which context words count.
-CONTEXT_CHARS = 40
+#: Characters before and after a span in which context words count; characters of a piece of text.
+CONTEXT_CHARS, PIECE = 40, 1024
 
 
 def _digits(m: Column) -> Column:
@@ -94,25 +100,47 @@ def _worth(kind: str, text: Column) -> Column:
 _SPAN = "array<struct<start:int,ord:int,kind:string,end:int,score:double>>"
 
 
+def _once(body: Callable[[Column], Column], **values: Column) -> Column:
+    """``body`` of a struct of the values, each of which is computed once a row."""
+    return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), body)[0]
+
+
+def _running(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """What ``add`` makes of each value and all before it; ``values`` should be a field or variable."""
+    strides = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda s: s < F.size(values))
+    return F.aggregate(strides, values, lambda acc, s: F.transform(acc, lambda x, i: F.when(i >= s, add(x, F.get(acc, i - s))).otherwise(x)))
+
+
+def _from(a: Column, k: int) -> Column:
+    """An array without its first ``k`` elements."""
+    return F.slice(a, k + 1, F.greatest(F.size(a) - k, F.lit(0)))
+
+
 def find(kind: str, text: Column) -> Column:
     """Spans of one kind: ``array<struct<start,ord,kind,end,score>>``."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    pairs = F.arrays_zip(F.split(text, PATTERNS[kind], -1).alias("gap"), found.alias("hit"))
     checked = CHECK_SCORE if kind in ("ip", "card", "phone", "iban") else 0.0
+    near = F.lit(CONTEXT_CHARS)
+
+    def span(p: Column) -> Column:
+        before = F.right(F.concat_ws("", F.right(p["gap0"], near), F.right(p["hit0"], near), F.right(p["gap"], near)), near)
+        after = F.left(F.concat_ws("", F.left(p["gap1"], near), F.left(p["hit1"], near), F.left(p["gap2"], near)), near)
+        score = F.lit(PATTERN_SCORE + checked) + F.when(before.rlike(CONTEXT[kind]) | after.rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0)
+        start = p["end"] - F.length(p["hit"])
+        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), p["end"].alias("end"), score.alias("score"))
+        return F.when(p["hit"].isNotNull() & _valid(kind, p["hit"]), one)
+
+    def placed(r: Column) -> Column:
+        none = F.array(F.lit(""))
+        gaps, hits = r["gaps"], r["hits"]
+        around = {"gap": gaps, "hit": hits, "end": _running(r["sizes"], lambda a, b: a + b), "gap0": F.concat(none, gaps), "hit0": F.concat(none, hits), "gap1": _from(gaps, 1), "hit1": _from(hits, 1), "gap2": _from(gaps, 2)}
+        return F.filter(F.transform(F.arrays_zip(*[c.alias(k) for k, c in around.items()]), span), lambda s: s.isNotNull())
 
-    def place(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.length(p["gap"])
-        end = start + F.coalesce(F.length(p["hit"]), F.lit(0))
-        near = F.right(p["gap"], F.lit(CONTEXT_CHARS)).rlike(CONTEXT[kind])
-        score = F.lit(PATTERN_SCORE + checked) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
-        one = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("ord"), F.lit(kind).alias("kind"), end.alias("end"), score.alias("score"))
-        out = F.when(p["hit"].isNotNull() & _valid(kind, p["hit"]), F.array_append(acc["out"], one)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+    def sized(r: Column) -> Column:
+        sizes = F.zip_with(r["gaps"], r["hits"], lambda g, h: F.length(g) + F.coalesce(F.length(h), F.lit(0)))
+        return _once(placed, gaps=r["gaps"], hits=r["hits"], sizes=sizes)
 
-    nothing = F.array().cast(_SPAN)
-    zero = F.struct(F.lit(0).alias("at"), nothing.alias("out"))
-    return F.when(_worth(kind, text), F.aggregate(pairs, zero, place, lambda a: a["out"])).otherwise(nothing)
+    found = _once(sized, gaps=F.split(text, PATTERNS[kind], -1), hits=F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)))
+    return F.when(_worth(kind, text), found).otherwise(F.array()).cast(_SPAN)
 
 
 def _listed(spans: Column) -> Column:
@@ -121,9 +149,40 @@ def _listed(spans: Column) -> Column:
 
 
 def spans(df: DataFrame, text_col: str = "text", to: str = "pii_spans") -> DataFrame:
-    """``df`` with all spans of all kinds, sorted, in column ``to``."""
+    """``df`` with all spans of all kinds, sorted, in a last column ``to``, under another name if that is taken."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return df.withColumn(to, F.array_sort(F.concat(*[find(k, text) for k in KINDS])))
+    return df.withColumn(fresh(df, to), F.array_sort(F.concat(*[find(k, text) for k in KINDS])))
+
+
+def _masked(text: Column, found: Column) -> Column:
+    """The text with each stretch of overlapping spans replaced by its first kind in angle brackets."""
+
+    def cut(pieces: Column, a: Column, b: Column) -> Column:
+        """Characters ``a`` to ``b`` of the text."""
+        first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+        piece = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+        inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        across = F.concat(piece(first).substr(a % PIECE + 1, F.lit(PIECE)), inner, piece(last).substr(F.lit(1), b % PIECE))
+        return F.when(first == last, piece(first).substr(a % PIECE + 1, b - a)).otherwise(across)
+
+    def join(r: Column) -> Column:
+        """``heads``: spans that begin a stretch, with the end of all before them."""
+        heads, pieces = r["heads"], r["pieces"]
+        mask = lambda h: F.concat(cut(pieces, h["upto"], h["start"]), F.lit("<"), F.upper(h["kind"]), F.lit(">"))
+        return F.concat(F.array_join(F.transform(heads, mask), ""), cut(pieces, r["last"], r["length"]))
+
+    def stretches(r: Column) -> Column:
+        upto = F.concat(F.array(F.lit(0)), r["reach"])
+        each = F.arrays_zip(r["start"].alias("start"), r["kind"].alias("kind"), F.slice(upto, 1, F.size(r["start"])).alias("upto"))
+        heads = F.filter(each, lambda s: s["start"] >= s["upto"])
+        return _once(join, heads=heads, last=F.element_at(r["reach"], -1), pieces=r["pieces"], length=r["length"])
+
+    def reached(r: Column) -> Column:
+        return _once(stretches, reach=_running(r["end"], F.greatest), start=r["start"], kind=r["kind"], pieces=r["pieces"], length=r["length"])
+
+    pieces = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % PIECE), F.lit(0))
+    field = lambda k: F.transform(found, lambda s: s[k])
+    return _once(reached, start=field("start"), end=field("end"), kind=field("kind"), pieces=pieces, length=F.length(text))
 
 
 def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -131,25 +190,9 @@ def redact(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     A null text stays null.
     """
-    text = F.col(text_col)
-    names = df.columns
-    own = fresh(df, "pii")
-
-    def cover(acc: Column, s: Column) -> Column:
-        """Overlapping spans become one; ``acc``: merged spans so far."""
-        last = F.try_element_at(acc, F.lit(-1))
-        grown = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
-        fresh = F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-        return F.when(last["end"] > s["start"], F.array_append(F.slice(acc, 1, F.size(acc) - 1), grown)).otherwise(F.array_append(acc, fresh))
-
-    merged = F.aggregate(own, F.array().cast("array<struct<start:int,kind:string,end:int>>"), cover)
-    piece = lambda a, s: F.struct(
-        s["end"].alias("at"), F.array_append(a["out"], F.concat(text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit("<"), F.upper(s["kind"]), F.lit(">"))).alias("out")
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    new = F.aggregate(own, zero, piece, lambda a: F.concat(F.array_join(a["out"], ""), text.substr(a["at"] + 1, F.length(text))))
-    marked = spans(df, text_col, own).withColumn(own, merged)
-    return marked.withColumn(text_col, F.when(F.size(own) > 0, new).otherwise(text)).select(*names)
+    marked = spans(df, text_col)
+    own = marked.columns[-1]
+    return marked.withColumn(text_col, F.when(F.size(own) > 0, _masked(F.col(text_col), F.col(own))).otherwise(F.col(text_col))).select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def detect(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

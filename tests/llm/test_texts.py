@@ -1,5 +1,6 @@
 import base64
 import dataclasses
+import functools
 import hashlib
 import random
 import re
@@ -256,6 +257,7 @@ def luhn(digits):
     return total % 10 == 0
 
 
+@functools.cache
 def brute_spans(text):
     out = []
     for order, (kind, pattern) in enumerate(BASE.items()):
@@ -297,6 +299,51 @@ def test_pii_added_spans_scores_and_redaction(spark, odd):
     assert pii.detect(odd.limit(0)).count() == 0
 
 
+def brute_masked(text, spans):
+    out, at, stretch = [], 0, None
+    for kind, s, e in spans:
+        if stretch and s < stretch[2]:
+            stretch[2] = max(stretch[2], e)
+            continue
+        if stretch:
+            out += [text[at : stretch[1]], f"<{stretch[0].upper()}>"]
+            at = stretch[2]
+        stretch = [kind, s, e]
+    if stretch:
+        out += [text[at : stretch[1]], f"<{stretch[0].upper()}>"]
+        at = stretch[2]
+    return "".join([*out, text[at:]])
+
+
+def test_masking_equals_python_on_overlaps_and_piece_borders(spark, docs):
+    rnd = random.Random(9)
+    parts = ["+49 171 23 45 678", "4111 1111 1111 1111", "1.2.3.4", "a@b.co", "+1.2.3.4@5.6.7.8", "\U0001f600\U0001f600", "x" * 1000, "é\n", " ", "GB82 WEST 1234 5698 7654 32", "1.2.3.4.5.6.7.8"]
+    rows = [(k, "".join(rnd.choices(parts, k=rnd.randrange(0, 40)))) for k in range(120)]
+    rows += [(200 + k, "z" * k + "a@b.co" + "y" * (2048 - k - 6)) for k in (0, 1017, 1018, 1019, 1023, 1024, 1025, 2042)] + [(300, "a@b.co")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").union(docs.select("doc_id", "text"))
+    listed = {(r.doc_id, r.text): r.s for r in pii.spans(df, to="s").collect()}
+    want = sorted((i, brute_masked(t, [(x.kind, x.start, x.end) for x in s])) for (i, t), s in listed.items())
+    assert sorted(map(tuple, pii.redact(df).distinct().collect())) == want
+
+
+def test_context_words_on_both_sides(spark):
+    texts = ["a@b.co is my mail", "mail a@b.co c@d.co", "a@b.co" + " -" * 30 + " mail", "mail" + " -" * 30 + " a@b.co", "a@b.co c@d.co, e@f.co write", "a@b.co"]
+    got = [r.scores for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["0.65", "0.65,0.65", "0.50", "0.50", "0.50,0.65,0.65", "0.50"]
+
+
+def test_very_many_spans_in_one_text(spark):
+    rows = [(1, " ".join(f"u{k}@x.co" for k in range(20_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_pii(df, rows)
+    assert pii.redact(df).first().text == " ".join(["<EMAIL>"] * 20_000)
+
+
+def test_a_column_named_as_the_spans(spark):
+    df = spark.createDataFrame([(1, "a@b.co", 5)], "doc_id long, text string, pii_spans int")
+    assert tuple(pii.redact(df).first()) == (1, "<EMAIL>", 5) and pii.spans(df).columns[-1] == "_pii_spans"
+
+
 # --- tokens and packing
 
 
