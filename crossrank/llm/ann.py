@@ -22,9 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossrank.llm import vectors
 from crossrank.llm.common import table
-from crossrank.llm.vectors import TOP, best, codebook, listed, lists, meet, nearest, queries, sample, stacked, tally, usable, visits
+from crossrank.llm.vectors import TOP, best, codebook, list_rows, listed, lists, meet, nearest, queries, sample, stacked, tally, usable, visits
 
 #: Centroids of a half; rows of the sample for each, at least.
 CENTROIDS, ROWS_EACH = 64, 8
@@ -113,7 +112,7 @@ def search(df: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str =
     cells_of = lambda v: shared.value.cells_of(v)
     sizes = tally(rows, cells_of, made.cells)[0]
     want, grid = max(top + 1, int(np.ceil(share * sizes.sum()))), sizes.reshape(len(made.one), len(made.two))
-    first, parts = lists(sizes, vectors.SHARD_ROWS)
+    first, parts = lists(sizes, list_rows(sizes.sum()))
 
     def visit(q_id: int, q: np.ndarray) -> np.ndarray:
         a, b = shared.value.distances(q[None])

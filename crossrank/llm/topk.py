@@ -30,9 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crossrank.llm import vectors
 from crossrank.llm.common import table
-from crossrank.llm.vectors import TOP, best, codebook, listed, lists, meet, nearest, queries, sample, stacked, tally, usable, visits
+from crossrank.llm.vectors import TOP, best, codebook, list_rows, listed, lists, meet, nearest, queries, sample, stacked, tally, usable, visits
 
 #: Points of a leaf of rows, of a leaf of queries (of which there are far fewer), and children of a node, at most.
 LEAF, QUERY_LEAF, CHILDREN = 256, 32, 16
@@ -115,18 +114,19 @@ def dual(rows: np.ndarray, ids: np.ndarray, asked: np.ndarray, asked_ids: np.nda
         s = q_all[q.points] @ p_all[p.points].T
         s[asked_ids[q.points][:, None] == ids[p.points][None]] = none
         n = min(top, s.shape[1])
-        kth = np.partition(s, s.shape[1] - n, 1)[:, s.shape[1] - n] if s.shape[1] > n else s.min(1)
-        for i, at in enumerate(q.points.tolist()):
-            limit = max(kth[i], scores[at, -1])
-            new = np.flatnonzero((s[i] >= limit) & (s[i] > none))
-            if len(new):
-                both = sorted(zip((-scores[at]).tolist() + (-s[i, new]).tolist(), found[at].tolist() + ids[p.points[new]].tolist())) if kind is object else None
-                if both:
-                    scores[at], found[at] = [-x for x, _ in both[:top]], [i for _, i in both[:top]]
-                    continue
-                all_s, all_i = np.concatenate([scores[at], s[i, new]]), np.concatenate([found[at], ids[p.points[new]]])
-                order = np.lexsort((all_i, ~all_s if kind is np.int64 else -all_s))[:top]
-                scores[at], found[at] = all_s[order], all_i[order]
+        for i in np.flatnonzero(s.max(1) >= scores[q.points, -1]).tolist():  # the others have better ones
+            at, row = q.points[i], s[i]
+            limit = max(np.partition(row, len(row) - n)[len(row) - n], scores[at, -1])
+            new = np.flatnonzero((row >= limit) & (row > none))
+            if not len(new):
+                continue
+            if kind is object:
+                both = sorted(zip((-scores[at]).tolist() + (-row[new]).tolist(), found[at].tolist() + ids[p.points[new]].tolist()))[:top]
+                scores[at], found[at] = [-x for x, _ in both], [k for _, k in both]
+                continue
+            all_s, all_i = np.concatenate([scores[at], row[new]]), np.concatenate([found[at], ids[p.points[new]]])
+            order = np.lexsort((all_i, ~all_s if kind is np.int64 else -all_s))[:top]
+            scores[at], found[at] = all_s[order], all_i[order]
 
     def bound(q: Node, p: Node) -> float:
         b = float(q.centre @ p.centre) + q.radius * p.norm + p.radius * q.norm + q.radius * p.radius
@@ -202,7 +202,7 @@ def search(df: DataFrame, top: int = TOP, id_col: str = "vec_id", vec_col: str =
     shared = spark.sparkContext.broadcast(made)  # a bounded sample
     cells_of = lambda v: shared.value.cells_of(v)
     sizes, radius = tally(rows, cells_of, len(made.pivots))
-    first, parts = lists(sizes, vectors.SHARD_ROWS)
+    first, parts = lists(sizes, list_rows(sizes.sum()))
 
     def scan(here: pa.Table, asked: pa.Table) -> pa.Table:
         q_id, v_id, score = np.empty(0, np.int64), np.empty(0, np.int64), []

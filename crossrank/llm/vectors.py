@@ -18,6 +18,8 @@ from crossrank.llm.common import mix, written
 
 #: Rows of a list, and queries that meet a list in one task.
 SHARD_ROWS, TASK_QUERIES = 8192, 4096
+#: Lists that smaller tables are dealt into, as far as each has LEAST_ROWS.
+SPREAD, LEAST_ROWS = 64, 512
 #: Rows that codebooks and pivots are learned from, at most.
 SAMPLE_ROWS = 16_384
 #: Queries are the rows whose id this divides; results for each query.
@@ -92,6 +94,10 @@ def tally(rows: DataFrame, cells_of: Cells, cells: int) -> tuple[np.ndarray, np.
     return n, most
 
 
+def list_rows(total: int) -> int:
+    return int(min(SHARD_ROWS, max(LEAST_ROWS, -(-total // SPREAD))))
+
+
 def lists(sizes: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     """The first list of each cell, and how many lists it is dealt over: cells share a list of ``rows``, large ones have several."""
     first, parts = np.zeros(len(sizes), np.int64), np.maximum(1, -(-sizes // rows))
