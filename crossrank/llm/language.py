@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -26,7 +26,7 @@ from crossrank.llm.common import fold, fresh, table, written
 
 #: Hash buckets for each n-gram order, and the orders.
 BUCKETS, ORDERS = 1 << 14, (1, 2, 3)
-#: Rows learned from for each language at most (those with the least hash of id and text), and groups they are dealt into.
+#: Rows learned from for each language, about (those with the least hash of id and text), and groups they are dealt into.
 LEARN_ROWS, DEALT = 3000, 16
 #: Languages of a pass (their matrix has 200 KB each), and those whose gathers are held at once.
 PASS_LANGUAGES, HELD = 256, 16
@@ -94,17 +94,13 @@ def scores(texts: list[str], logs: np.ndarray) -> np.ndarray:
 def learn(df: DataFrame, seed_col: str = "doc_id", rows: int = LEARN_ROWS) -> DataFrame:
     """A written table ``lang, n, logs``: a language, its rows, and its log-probabilities, from ``doc_id, text, lang``.
 
-    The rows of each language with the least hash are chosen by a bound on the hash. A language's count tells below
-    which hash about twice as many lie, so few rows of even the commonest one are ranked.
+    A language is learned from its rows below a bound on their hash, which its count of different rows sets so that
+    about ``rows`` lie there (within some hundredths, as the count is); nothing is ranked or gathered for that.
     """
     named = df.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col(seed_col).isNotNull())
     named = named.select("lang", "text", (F.xxhash64(seed_col, "text").cast("double") / 2.0**64 + 0.5).alias("draw"))
-    sizes = named.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw").alias("d"))
-    upto = F.when(F.col("d") > 4 * rows, F.lit(2.0 * rows) / F.col("d")).otherwise(1.0)
-    few = named.select("lang", "draw").join(sizes.select("lang", upto.alias("upto")), "lang").filter("draw <= upto").distinct()
-    order = Window.partitionBy("lang").orderBy("draw")
-    last = few.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= rows).groupBy("lang").agg(F.max("draw").alias("last"))
-    last = written(df.sparkSession, last.join(sizes.select("lang", "n"), "lang"), "languages")
+    sizes = named.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("draw", 0.02).alias("d"))
+    last = written(df.sparkSession, sizes.select("lang", "n", F.least(F.lit(1.0), F.lit(float(rows)) / F.col("d")).alias("last")), "languages")
     sample = named.join(last.select("lang", "last"), "lang").filter("draw <= last").dropDuplicates(["lang", "draw"])
     size = BUCKETS * len(ORDERS)
 
