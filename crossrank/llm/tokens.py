@@ -5,6 +5,8 @@ the least rank that has entries by find-first-set; its bucket gives the leftmost
 of symbols. Entries that a merge made stale are skipped when met. A pre-token of n bytes takes O(n) bucket
 steps, so very long pre-tokens (one unbroken run of letters) do not become quadratic.
 
+Ids of short pre-tokens are remembered, within a bound in bytes; long ones are merged each time.
+
 Cases: a null text has no ids; an empty text has none either; any other text decodes to its own UTF-8 bytes.
 Rows with null or repeated ids stay rows of their own; only id and text are read.
 """
@@ -12,7 +14,7 @@ Rows with null or repeated ids stay rows of their own; only id and text are read
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import sha256
 from heapq import heappop, heappush
@@ -24,8 +26,9 @@ from pyspark.sql import functions as F
 
 from crossrank.llm.common import table
 
-#: Pre-tokens that a worker remembers in each of two generations.
-REMEMBERED = 600_000
+#: Bytes of pre-tokens and results that a worker remembers in each of two generations, what an entry takes beside them,
+#: and the longest pre-token (in characters) that is remembered at all.
+REMEMBERED, ENTRY, LONGEST = 160 << 20, 250, 64
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -93,20 +96,22 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class Remembered(dict):
-    """A memory of two generations: at ``most`` entries the older one is dropped."""
+    """A memory of two generations: when the newer one has ``most`` bytes the older one is dropped."""
 
-    def __init__(self, make, most: int = REMEMBERED) -> None:
+    def __init__(self, make: Callable[[str], tuple[str, bytes]], most: int = REMEMBERED) -> None:
         super().__init__()
-        self.make, self.most, self.old = make, most, {}
+        self.make, self.most, self.held, self.old = make, most, 0, {}
 
-    def __missing__(self, key):
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
+    def __missing__(self, key: str) -> tuple[str, bytes]:
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        if len(key) <= LONGEST:
+            if self.held >= self.most:
+                self.old, self.held = dict(self), 0
+                self.clear()
+            self[key] = value
+            self.held += ENTRY + len(key) + len(value[0]) + len(value[1])
         return value
 
 
