@@ -5,7 +5,9 @@ then to the strongest pairs; every tree is added into its feature's lookup table
 entries. The tables have a fixed size and are broadcast; the rows learned from are a bounded sample.
 
 Cases: a null or empty text has all-zero features and still gets a score; without labels of both kinds the
-score is the share of label 1 (0.5 without any label). Null ids are in no held-out fold.
+score is the share of label 1 (0.5 without any label). Null ids are in no held-out fold. Documents that share an id
+each get a score, and one of them is learned from. Equal texts have equal scores; of equally good cuts and pairs the
+first is taken.
 """
 
 from __future__ import annotations

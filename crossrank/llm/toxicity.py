@@ -6,7 +6,8 @@ features. Beside a weight for each feature the machine learns a vector for each,
 pairs of terms that occur together. The model has a fixed size and is broadcast.
 
 Cases: a null or empty text has no terms and gets the bias alone; without labels of both kinds every score is
-the share of label 1 (0.5 without any label). Null ids are in no held-out fold.
+the share of label 1 (0.5 without any label). Null ids are in no held-out fold. Documents that share an id each get
+a score, and one of them is learned from. Equal texts have equal scores; of equally telling buckets the lower is kept.
 """
 
 from __future__ import annotations

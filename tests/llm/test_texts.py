@@ -2,6 +2,7 @@ import base64
 import dataclasses
 import functools
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -11,6 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -579,6 +581,94 @@ def test_classifiers_never_learn_from_the_held_out_fold(spark):
     assert len(got) == 50 and all(zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.y == 1 for r in got)
 
 
+def test_an_id_on_very_many_rows_is_learned_from_once(spark):
+    docs = spark.createDataFrame([(7 if k % 3 else 100 + k, f"text {k}") for k in range(3000)], "doc_id int, text string").repartition(3)
+    labels = docs.select("doc_id", F.lit(1).alias("toxic")).distinct()
+    got = labelled.labelled(docs, labels, "toxic", 1, 5, 50).collect()
+    assert len(got) == 50 == len({r.doc_id for r in got})
+
+
+@pytest.fixture(scope="module")
+def big(spark):
+    return [spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels")]
+
+
+def test_quality_scores_equal_a_plain_walk_of_the_tables(spark, big, odd):
+    """Each feature's bin by counting edges, each table entry added one by one."""
+    model = quality.learn(*big)
+    for frame in (big[0].filter("doc_id < 60"), odd):
+        rows = [(r.doc_id, r.text) for r in frame.collect()]
+        want = []
+        for i, t in rows:
+            x, total = quality.features(t or ""), model.base
+            for f, value in enumerate(x):
+                total += model.tables[f][sum(e <= value for e in model.edges[f].tolist())]
+            for k, (a, b) in enumerate(model.pairs):
+                total += model.pair_tables[k][sum(e <= x[a] for e in model.coarse[a].tolist())][sum(e <= x[b] for e in model.coarse[b].tolist())]
+            want.append((str(i), round(1 / (1 + math.exp(-max(-30.0, min(30.0, total)))), 9)))
+        assert sorted((str(r.doc_id), round(r.score, 9)) for r in quality.score(frame, model).collect()) == sorted(want)
+
+
+def test_quality_features_equal_plain_counts():
+    text = "Two words here,\nTwo  lines | ok! 42\n\n"
+    x = dict(zip(quality.FEATURES, quality.features(text)))
+    raw = text.encode()
+    assert x["log_bytes"] == pytest.approx(math.log1p(len(raw))) and x["digit"] == pytest.approx(2 / len(raw)) and x["upper"] == pytest.approx(2 / len(raw))
+    assert x["newlines"] == pytest.approx(3 / len(raw)) and x["bars"] == pytest.approx(1 / len(text.split())) and x["top_word"] == pytest.approx(2 / len(text.split()))
+    assert x["word_bytes"] == pytest.approx(np.mean([len(w) for w in raw.split()]))
+
+
+def test_boosting_steps_equal_a_plain_search():
+    """The best cut of a tree of depth 1, and the best cross of two cuts, against all of them in a loop."""
+    rng = np.random.default_rng(3)
+    damp = quality.DAMP
+    gain = lambda g, h: g * g / (h + damp)
+    for _ in range(20):
+        g, h, n = rng.normal(size=12), rng.random(12) + 0.1, rng.integers(8, 30, 12)
+        best = max(range(1, 12), key=lambda k: gain(g[:k].sum(), h[:k].sum()) + gain(g[k:].sum(), h[k:].sum()))
+        want = [g[:best].sum() / (h[:best].sum() + damp)] * best + [g[best:].sum() / (h[best:].sum() + damp)] * (12 - best)
+        if min(n[:best].sum(), n[best:].sum()) >= quality.LEAF_ROWS:
+            assert np.allclose(quality._tree(g, h, n, 1), want)
+        g, h, n = rng.normal(size=(6, 6)), rng.random((6, 6)) + 0.1, rng.integers(8, 30, (6, 6))
+        cells = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 6)), (slice(i, 6), slice(0, j)), (slice(i, 6), slice(j, 6))]
+        i, j = max(((i, j) for i in range(1, 6) for j in range(1, 6)), key=lambda c: sum(gain(g[q].sum(), h[q].sum()) for q in cells(*c)))
+        out = np.empty((6, 6))
+        for q in cells(i, j):
+            out[q] = g[q].sum() / (h[q].sum() + damp)
+        assert np.allclose(quality._cross(g, h, n)[1], out)
+
+
+def test_toxicity_scores_equal_a_plain_sum_over_pairs(spark, big, odd):
+    """Bias, weights, and the inner product of each pair of a text's terms, in a loop."""
+    model = toxicity.learn(*big)
+    at = {int(b): k for k, b in enumerate(model.buckets)}
+    for frame in (big[0].filter("doc_id < 40"), odd):
+        want = []
+        for r in frame.collect():
+            found = set()
+            for w in (r.text or "").lower().encode().split():
+                w = w.strip(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+                for part in [w, *(w[:k] + b"*" for k in (4, 5, 6, 7, 8) if len(w) >= k)] if w else []:
+                    if (b := xxhash.xxh3_64_intdigest(part) % (1 << 20)) in at:
+                        found.add(at[b])
+            terms = sorted(found)
+            z = model.bias + sum(model.weights[k] for k in terms)
+            for a in range(len(terms)):
+                for b in range(a):
+                    z += float(model.factors[terms[a]] @ model.factors[terms[b]])
+            want.append((str(r.doc_id), round(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))), 8)))
+        assert sorted((str(r.doc_id), round(r.score, 8)) for r in toxicity.score(frame, model).collect()) == sorted(want)
+
+
+def test_memory_of_pretokens_is_bounded_in_bytes():
+    known = tokens.Remembered(lambda w: (w * 3, w.encode()), most=40_000)
+    for k in range(5000):
+        known[f"word{k % 700}" if k % 2 else f"other{k}"]
+        known["x" * 5000 + str(k)]
+        assert sum(tokens.ENTRY + 5 * len(w) for w in [*known, *known.old]) <= 2 * 40_000 + 2000 and max(map(len, known)) <= tokens.LONGEST
+    assert known["word1"] == ("word1" * 3, b"word1")
+
+
 def test_factors_learn_what_weights_cannot():
     """Label 1 only where both terms occur: pairwise products find it."""
     rng = np.random.default_rng(1)
