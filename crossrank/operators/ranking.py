@@ -12,6 +12,15 @@ CUTS, DEPTH = (1, 3, 5, 10), 10
 METRICS = (*(f"Recall@{k}" for k in CUTS), f"MRR@{DEPTH}", f"mAP@{DEPTH}")
 
 
+#: Shares of at most 1 as decimals: their sums and means are exact to the 18th place in any order of rows.
+_EXACT = "decimal(22,18)"
+
+
+def exact_mean(share: Column) -> Column:
+    """Mean of numbers from 0 to 1 that does not depend on the order in which rows arrive."""
+    return F.avg(share.cast(_EXACT)).cast("double")
+
+
 def sortable(score: Column) -> Column:
     """NaN ranks last, so it becomes null (Spark puts NaN above all numbers)."""
     return F.when(F.isnan(score), None).otherwise(score)
@@ -47,7 +56,7 @@ def per_query(ranked: DataFrame, total: DataFrame, gallery: int | Column, cond:
     each = hits.groupBy(*cond, "query_id", "label").agg(
         *[F.max(F.when(F.col("rank") <= k, F.col("rel")).otherwise(0)).cast("double").alias(f"_r{k}") for k in CUTS],
         F.coalesce(1.0 / F.min(F.when(F.col("rel") == 1, F.col("rank"))), F.lit(0.0)).alias("_mrr"),
-        F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("_sum"),
+        F.sum(F.when(F.col("rel") == 1, F.col("hits") / F.col("rank")).otherwise(0.0).cast(_EXACT)).cast("double").alias("_sum"),
     )
     known = each.join(total, [*total_on, "label"], "left").withColumn("total", F.coalesce("total", F.lit(0)))
     ok = F.col("total") > 0
@@ -65,12 +74,12 @@ def summary(queries: DataFrame, cond: tuple[str, ...] = ()) -> DataFrame:
 def class_level(queries: DataFrame, cond: tuple[str, ...] = (), metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Mean of each metric over the eligible queries of each class; queries without a label take no part."""
     kept = queries.filter(F.col("eligible") & F.col("label").isNotNull())
-    return kept.groupBy(*cond, F.col("label").alias("class")).agg(F.count("*").alias("n_class"), *[F.avg(m).alias(m) for m in metrics])
+    return kept.groupBy(*cond, F.col("label").alias("class")).agg(F.count("*").alias("n_class"), *[exact_mean(F.col(f"`{m}`")).alias(m) for m in metrics])
 
 
 def macro(classes: DataFrame, cond: tuple[str, ...] = (), metrics: tuple[str, ...] = METRICS) -> DataFrame:
     """Unweighted mean over classes: one row a condition (null metrics for none)."""
-    return classes.groupBy(*cond).agg(*[F.avg(m).alias(m) for m in metrics])
+    return classes.groupBy(*cond).agg(*[exact_mean(F.col(f"`{m}`")).alias(m) for m in metrics])
 
 
 def class_macro(values: DataFrame, value: str, label: str = "label", cond: tuple[str, ...] = ()) -> DataFrame:
@@ -102,9 +111,11 @@ def permutations(spark, gallery: int, seeds: int) -> DataFrame:
 def tie_neutral(pairs: DataFrame, orders: DataFrame, total: DataFrame, gallery: int, cond: tuple[str, ...] = (), total_on: tuple[str, ...] = ()) -> DataFrame:
     """Metrics averaged over random orders of exactly tied candidates; ``mAP@10_tie_sd`` is their deviation.
 
-    ``orders``: ``seed, c_pos, perm_pos``, with ``c_pos`` numbered from 0 within a gallery.
+    ``orders``: ``seed, c_pos, perm_pos``, with ``c_pos`` numbered from 0 within a gallery. Only candidates that some
+    order can bring among the first ``DEPTH``, those with a score no less than the query's ``DEPTH``-th, meet the orders.
     """
-    seeded = pairs.join(orders, "c_pos")
+    place = Window.partitionBy(*cond, "query_id").orderBy(sortable(F.col("score")).desc_nulls_last())
+    seeded = pairs.withColumn("_place", F.rank().over(place)).filter(F.col("_place") <= DEPTH).drop("_place").join(orders, "c_pos")
     runs = per_query(top(seeded, (*cond, "seed"), tie="perm_pos"), total, gallery, (*cond, "seed"), total_on)
     ap = METRICS[-1]
     return runs.groupBy(*cond, "query_id", "label", "eligible").agg(*[F.avg(m).alias(m) for m in METRICS], F.stddev_pop(ap).alias(f"{ap}_tie_sd"))

@@ -19,6 +19,9 @@ from crossrank.sources import files
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 BOTH = tuple(fixtures.BACKBONES)
+#: Decimals at which queries rank scores, as their SQL does: engines that add in another order then find the same ties.
+#: The library and its jobs rank scores as they are.
+DECIMALS = 9
 
 
 def query(oracle: str | None = None):
@@ -305,7 +308,7 @@ def q_score_variants(s, d):
 
 def _reranked(s, d, **kw) -> DataFrame:
     ready = calibration.calibrate(fixtures.both_ways(s, d, **kw), COND)
-    return experiments.scored(ready, calibration.rerank_score()).withColumn("variant", F.lit("rerank"))
+    return experiments.scored(ready, calibration.rerank_score(), DECIMALS).withColumn("variant", F.lit("rerank"))
 
 
 _RERANKED = f"{sql.calibrated()}, {sql.variants(('rerank',))}"
@@ -417,7 +420,7 @@ _HELD_COLS = ", ".join(f'round("{m}", 6) + 0.0 AS "{r}"' for m, r in _RK.items()
 
 @query(f"WITH {_HELD}, n AS (SELECT direction, CAST(count_if(eligible) AS BIGINT) AS n_cases FROM pq GROUP BY ALL) SELECT backbone, scenario, granularity, mac.direction, n_cases, {_HELD_COLS} FROM mac JOIN n USING (direction)")
 def q_heldout(s, d):
-    got = experiments.held_out(fixtures.both_ways(s, d, splits=("test",)), labels_of(s, d, splits=("test",)), 16)
+    got = experiments.held_out(fixtures.both_ways(s, d, splits=("test",)), labels_of(s, d, splits=("test",)), 16, decimals=DECIMALS)
     return rounded(got, "backbone", "scenario", "granularity", "direction", "n_cases", metrics=tuple(_RK.values()))
 
 
@@ -429,13 +432,13 @@ _KEEP = ("train", "test")
 g AS (SELECT backbone, scenario, direction, granularity, max("mAP@10") FILTER (WHERE variant = 'mean_pooling') AS a, max("mAP@10") FILTER (WHERE variant = 'rerank') AS b FROM mac GROUP BY ALL)
 SELECT backbone, scenario, direction, granularity, round(a, 6) + 0.0 AS "base_mAP@10", round(b, 6) + 0.0 AS "rerank_mAP@10", round(100.0 * (b - a) / a, 6) + 0.0 AS delta_pct FROM g""")
 def q_method_grid(s, d):
-    got = experiments.method_grid(fixtures.both_ways(s, d, **_ALL, splits=_KEEP), labels_of(s, d, _BOTH_G, _KEEP), fixtures.SLIDES)
+    got = experiments.method_grid(fixtures.both_ways(s, d, **_ALL, splits=_KEEP), labels_of(s, d, _BOTH_G, _KEEP), fixtures.SLIDES, decimals=DECIMALS)
     return rounded(got, *COND, "granularity", metrics=("base_mAP@10", "rerank_mAP@10", "delta_pct"))
 
 
 @query(f'WITH {sql.calibrated(**_ALL)}, {sql.variants(("mean_pooling",))}, {sql.metrics(_BOTH_G)}, {sql.classes()} SELECT backbone, scenario, direction, granularity, round("mAP@10", 6) + 0.0 AS "mAP@10" FROM mac')
 def q_stress_test(s, d):
-    got = experiments.stress_test(fixtures.both_ways(s, d, **_ALL), labels_of(s, d, _BOTH_G), fixtures.SLIDES)
+    got = experiments.stress_test(fixtures.both_ways(s, d, **_ALL), labels_of(s, d, _BOTH_G), fixtures.SLIDES, decimals=DECIMALS)
     return rounded(got, *COND, "granularity", metrics=("mAP@10",))
 
 
@@ -449,7 +452,7 @@ us AS (SELECT direction, label, unit, sum(a) AS sum_a, sum(b) AS sum_b, count(*)
 
 def _ab(s, d) -> DataFrame:
     made = calibration.variants(calibration.calibrate(fixtures.both_ways(s, d), COND), ("mean_pooling", "rerank"))
-    q = experiments.evaluate(experiments.scored(made, F.col("score")), labels_of(s, d), fixtures.SLIDES, KEYS)
+    q = experiments.evaluate(experiments.scored(made, F.col("score"), DECIMALS), labels_of(s, d), fixtures.SLIDES, KEYS)
     wide = q.groupBy("direction", "query_id", "label").agg(*[F.first(F.when(F.col("variant") == v, F.col("`mAP@10`")), ignorenulls=True).alias(n) for v, n in (("rerank", "a"), ("mean_pooling", "b"))])
     return wide.withColumn("unit", F.floor(F.col("query_id") / 2))
 
@@ -536,7 +539,7 @@ def q_score_ablation(s, d):
 
 
 def _score_ablation(s, d, replicates: int) -> DataFrame:
-    q = experiments.ablation_queries(fixtures.both_ways(s, d), labels_of(s, d), fixtures.SLIDES, COND)
+    q = experiments.ablation_queries(fixtures.both_ways(s, d), labels_of(s, d), fixtures.SLIDES, COND, DECIMALS)
     units = fixtures.slides(s, d).select(F.col("slide_id").alias("query_id"), F.col("case_id").alias("unit"))
     got = experiments.score_ablation(q, units, replicates=replicates)
     return got.select("direction", "variant", "metric", *[r6(c).alias(c) for c in ("value", "diff", "ci_lo", "ci_hi", "p")], "holm")

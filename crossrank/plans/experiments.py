@@ -9,12 +9,9 @@ from crossrank.operators import statistics
 from crossrank.operators.calibration import calibrate, rerank_score, variants
 from crossrank.operators.ranking import METRICS, class_level, class_macro, macro, per_query, relative_change, summary, tie_neutral, top
 
-#: Scores are ranked at this many decimals, so that any engine finds the same ties.
-DECIMALS = 9
-
-
-def scored(pairs: DataFrame, score) -> DataFrame:
-    return pairs.withColumn("score", F.round(score, DECIMALS))
+def scored(pairs: DataFrame, score, decimals: int | None = None) -> DataFrame:
+    """Adds ``score`` as it is. ``decimals`` rounds it: only for comparisons with an engine that adds in another order."""
+    return pairs.withColumn("score", score if decimals is None else F.round(score, decimals))
 
 
 def labelled(ranked: DataFrame, labels: DataFrame, cond: tuple[str, ...] = ()) -> DataFrame:
@@ -33,12 +30,12 @@ def evaluate(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str,
     return per_query(labelled(top(pairs, cond), labels, by), total, gallery, (*cond, *by), by)
 
 
-def held_out(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction"), orders: DataFrame | None = None) -> DataFrame:
+def held_out(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction"), orders: DataFrame | None = None, decimals: int | None = None) -> DataFrame:
     """A row for each direction: cases and macro metrics (``R@k`` for the hit rates) of the fused score.
 
     With ``orders`` (random gallery orders) exact ties count by their mean over these orders.
     """
-    ready = scored(calibrate(pairs, cond), rerank_score())
+    ready = scored(calibrate(pairs, cond), rerank_score(), decimals)
     by = ("granularity",)
     if orders is None:
         queries = evaluate(ready, labels, gallery, cond)
@@ -51,26 +48,26 @@ def held_out(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str,
     return macro(class_level(queries, keys), keys).join(n, list(keys)).withColumnsRenamed({m: m.replace("Recall", "R") for m in METRICS})
 
 
-def method_grid(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction")) -> DataFrame:
+def method_grid(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction"), decimals: int | None = None) -> DataFrame:
     """Mean pooling against the fused score in every condition: both mAPs and the change in percent."""
     made = variants(calibrate(pairs, cond), ("mean_pooling", "rerank"))
-    queries = evaluate(scored(made, F.col("score")), labels, gallery, (*cond, "variant"))
+    queries = evaluate(scored(made, F.col("score"), decimals), labels, gallery, (*cond, "variant"))
     keys = (*cond, "granularity")
     wide = macro(class_level(queries, (*keys, "variant")), (*keys, "variant")).groupBy(*keys).pivot("variant", ["mean_pooling", "rerank"]).agg(F.first("mAP@10"))
     base, new = F.col("mean_pooling"), F.col("rerank")
     return wide.select(*keys, base.alias("base_mAP@10"), new.alias("rerank_mAP@10"), relative_change(new, base).alias("delta_pct"))
 
 
-def stress_test(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction")) -> DataFrame:
+def stress_test(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("backbone", "scenario", "direction"), decimals: int | None = None) -> DataFrame:
     """Mean pooling alone in every condition."""
-    queries = evaluate(scored(pairs, F.col("s_g")), labels, gallery, cond)
+    queries = evaluate(scored(pairs, F.col("s_g"), decimals), labels, gallery, cond)
     keys = (*cond, "granularity")
     return macro(class_level(queries, keys), keys).select(*keys, "mAP@10")
 
 
-def ablation_queries(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("direction",)) -> DataFrame:
+def ablation_queries(pairs: DataFrame, labels: DataFrame, gallery: int, cond: tuple[str, ...] = ("direction",), decimals: int | None = None) -> DataFrame:
     """Per-query metrics of all score variants."""
-    made = scored(variants(calibrate(pairs, cond)), F.col("score"))
+    made = scored(variants(calibrate(pairs, cond)), F.col("score"), decimals)
     return evaluate(made, labels, gallery, (*cond, "variant"))
 
 

@@ -6,6 +6,7 @@ from crossrank.operators import calibration, ranking, statistics
 from crossrank.operators.pooling import consistent_dimension, pool
 from crossrank.operators.prototypes import Settings, bank, feasible, kmeans
 from crossrank.operators.similarity import directed, similarities
+from crossrank.plans import experiments
 
 RNG = np.random.default_rng(0)
 
@@ -190,11 +191,11 @@ def test_bootstrap_and_holm(spark):
     for f in (lambda: statistics.bootstrap_hashed(rows, 200, 1, ("c",)), lambda: statistics.bootstrap_numpy(rows, ("c",), 200, 1)):
         got = f().first()
         assert got["diff"] == pytest.approx(0.2) and got.p == pytest.approx(1 / 200) and got.n_units == 30 and got.n_rows == 60
-    multi = statistics.paired_bootstrap_multi(np.stack([a, a + 0.2], 1), 1, labels, units, 300, 1, 100)
-    assert multi[0]["diff"] == pytest.approx(0.2) and multi[1]["p"] == 1.0
+    multi = statistics.bootstrap_multi(rows, ("a", "b"), "b", ("c",), 300, 1, 100).orderBy("method").collect()
+    assert multi[0]["diff"] == pytest.approx(0.2) and multi[0].p == pytest.approx(1 / 300) and multi[1].p == 1.0 and multi[1]["diff"] == 0.0
     with pytest.raises(ValueError):
         statistics.check_nesting(spark.createDataFrame([(1, 1), (1, 2)], "unit int, label int"))
-    for p, want in (([0.001, 0.02, 0.04], [True, True, True]), ([0.001, 0.03, 0.04], [True, False, False])):
+    for p, want in (([0.004, 0.018, 0.045], [True, True, True]), ([0.011, 0.027, 0.03], [True, False, False]), ([0.2, 0.012, 0.03], [False, True, False])):
         t = statistics.holm(spark.createDataFrame(list(enumerate(p)), "idx int, p double"))
         assert [r.reject for r in t.orderBy("idx").collect()] == want
 
@@ -203,3 +204,51 @@ def test_folds_average_over_folds():
     a, b = np.zeros(8), np.array([1, 1, 0, 0, 1, 1, 1, 1.0])
     r = statistics.paired_bootstrap(a, b, [0, 0, 1, 1, 0, 0, 1, 1], [0, 1, 2, 3, 0, 1, 2, 3], 50, 1, [0] * 4 + [1] * 4)
     assert r["diff"] == pytest.approx(0.75)
+
+
+def test_multi_equals_a_plain_loop():
+    """Two classes of unequal units; draws class by class within a chunk, ratios of drawn sums, mean over classes."""
+    import pandas as pd
+
+    rng = np.random.default_rng(4)
+    sums = pd.DataFrame({"label": ["x"] * 3 + ["y"] * 5, "unit": range(8), "n": rng.integers(1, 5, 8), "a": rng.random(8), "b": rng.random(8)})
+    got = statistics.paired_bootstrap_multi(sums.sample(frac=1, random_state=1), ["a", "b"], "a", 25, 9, 10).set_index("method")
+    draws, d = np.random.default_rng(9), []
+    for size in (10, 10, 5):
+        w = {c: draws.multinomial(len(t), [1 / len(t)] * len(t), size=size) for c, t in sums.groupby("label")}
+        for r in range(size):
+            mean = {m: np.mean([sum(w[c][r][i] * v for i, v in enumerate(t[m])) / sum(w[c][r][i] * v for i, v in enumerate(t.n)) for c, t in sums.groupby("label")]) for m in "ab"}
+            d.append(mean["a"] - mean["b"])
+    assert got.loc["b", "ci_lo"] == pytest.approx(np.percentile(d, 2.5)) and got.loc["b", "ci_hi"] == pytest.approx(np.percentile(d, 97.5))
+    assert got.loc["b", "diff"] == pytest.approx(np.mean([t.a.sum() / t.n.sum() - t.b.sum() / t.n.sum() for _, t in sums.groupby("label")]))
+    with pytest.raises(ValueError, match="class"):
+        statistics.paired_bootstrap_multi(sums.assign(unit=0), ["a", "b"], "a", 5)
+
+
+def test_sizes_are_chosen_alike_in_both_forms(spark):
+    """A rule in a plain loop against both; the second group has negative utilities only."""
+    from crossrank.operators.prototypes import choose, near_best
+
+    groups = {"p": [0.5, 0.7, 0.71, 0.6], "q": [-0.3, -0.1, -0.2, -0.4], "r": [0.0, 0.0, 0.0, 0.0], "s": [0.2, 1.4, 1.39, 1.2]}
+    want = {"p": (4, 0.7), "q": (4, 0.0), "r": (2, 0.0), "s": (4, 1.0)}
+    rows = [(g, k, float(u)) for g, us in groups.items() for k, u in zip((2, 4, 6, 8), us)] + [("p", 12, float("nan")), ("p", 16, None)]
+    got = near_best(spark.createDataFrame(rows, "slide_id string, k int, utility double")).collect()
+    assert {r.slide_id: (r.k, r.q_proto) for r in got} == want
+    assert {g: ((2, 4, 6, 8)[choose(np.array(u))[0]], choose(np.array(u))[1]) for g, u in groups.items()} == want
+
+
+def test_near_ties_are_ranked_as_they_are(spark):
+    """Scores 1e-12 apart are no ties, in the library's ranking and in its experiments."""
+    s = np.array([[0.5, 0.5 + 1e-12, 0.1], [0.2, 0.3, 0.4], [0.9, 0.8, 0.7]])
+    df = pair_frame(spark, s)
+    made = experiments.scored(df, F.col("s_g"))
+    assert [r.c_pos for r in ranking.top(made).filter("query_id = 0").orderBy("rank").collect()] == [1, 0, 2]
+    assert [r.c_pos for r in ranking.top(experiments.scored(df, F.col("s_g"), 9)).filter("query_id = 0").orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_means_do_not_depend_on_the_order_of_rows(spark):
+    values = [1 / 3, 0.1, 0.7, 1 / 7, 0.25, 1.0] * 50
+    rows = [(k, "a" if k % 3 else "b", True, *[v] * 6) for k, v in enumerate(values)]
+    df = spark.createDataFrame(rows, "query_id long, label string, eligible boolean, " + ", ".join(f"`{m}` double" for m in ranking.METRICS))
+    got = {str(ranking.macro(ranking.class_level(df.repartition(n).orderBy(F.xxhash64("query_id", F.lit(n))))).first()) for n in (1, 3, 7, 8)}
+    assert len(got) == 1
