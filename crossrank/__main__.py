@@ -25,12 +25,12 @@ def parser() -> argparse.ArgumentParser:
     scenario = (("--scenario",), {"default": "strict", "choices": jobs.SCENARIOS})
     split = (("--split",), {"default": "test"})
     job("build-pool-cache", backbone, (("--overwrite",), {"action": "store_true"}))
-    job("build-prototypes", backbone)
+    job("build-prototypes", backbone, (("--npz",), {"action": "store_true", "help": "an archive for each slide"}))
     job("stress-test", several)
     job("grid", several)
     job("heldout", backbone, scenario, split, (("--granularity",), {"default": "OncotreeCode", "choices": jobs.GRANULARITIES}), (("--tie-break",), {"default": "stable", "choices": ("stable", "neutral")}), (("--n-tie-seeds",), {"type": int, "default": 50}))
     job("score-ablation", backbone, scenario, split, (("--n-boot",), {"type": int, "default": 20_000}), (("--seed",), {"type": int, "default": 42}))
-    job("rewrite-reports", (("--csv",), {"required": True}), (("--audit",), {"required": True}), (("--out",), {}), (("--ids",), {}), (("--pilot",), {"type": int, "default": 0}), (("--seed",), {"type": int, "default": 0}), (("--max-attempts",), {"type": int, "default": 3, "dest": "attempts"}), (("--overwrite",), {"action": "store_true"}), config=False)
+    job("rewrite-reports", (("--csv",), {"required": True}), (("--audit",), {"required": True}), (("--rewriter",), {"required": True, "help": "module:function that takes instructions and a payload and gives the reply's JSON"}), (("--out",), {}), (("--ids",), {}), (("--pilot",), {"type": int, "default": 0}), (("--seed",), {"type": int, "default": 0}), (("--max-attempts",), {"type": int, "default": 3, "dest": "attempts"}), (("--overwrite",), {"action": "store_true"}), config=False)
     job("diagnosis-only", (("--csv",), {"required": True}), (("--out",), {"required": True}), (("--ids",), {}), config=False)
     return p
 

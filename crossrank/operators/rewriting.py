@@ -6,6 +6,7 @@ It runs on the executors, a report at a time, inside ``mapInPandas``; the checks
 
 from __future__ import annotations
 
+import importlib
 import json
 import re
 import time
@@ -43,27 +44,32 @@ def stub(instructions: str, text: str) -> str:
     return json.dumps({"has_sufficient_morphology": len(source) >= 60, REWRITE: source})
 
 
-def with_backoff(call: Rewriter, tries: int = 6, sleep: Callable[[float], None] = time.sleep) -> Rewriter:
-    """Waits and calls again after failures, ``tries`` times at most; then the failure goes on to the task."""
+def with_backoff(call: Rewriter, tries: int | None = None, sleep: Callable[[float], None] = time.sleep) -> Rewriter:
+    """Waits and calls again after failures, for as long as it takes, or ``tries`` times before the failure goes on."""
 
     def run(instructions: str, text: str) -> str:
-        for left in range(tries - 1, -1, -1):
+        made = 0
+        while True:
             try:
                 return call(instructions, text)
-            except RateLimited as e:
-                if not left:
+            except (RateLimited, TimeoutError, ConnectionError) as e:
+                made += 1
+                if made == tries:
                     raise
-                named = re.search(r"try again in (\d+)s", str(e), re.I)
-                sleep(int(named[1]) + RATE_EXTRA if named else RATE_WAIT)
-            except (TimeoutError, ConnectionError):
-                if not left:
-                    raise
-                sleep(OTHER_WAIT)
-        raise AssertionError
+                named = re.search(r"try again in (\d+)s", str(e), re.I) if isinstance(e, RateLimited) else None
+                sleep(int(named[1]) + RATE_EXTRA if named else RATE_WAIT if isinstance(e, RateLimited) else OTHER_WAIT)
 
     return run
 
 
+def load(name: str) -> Rewriter:
+    """The rewriter named ``module:function``; the module must be importable on the executors."""
+    module, _, function = name.partition(":")
+    if not function:
+        raise ValueError(f"{name!r}: expected module:function")
+    return getattr(importlib.import_module(module), function)
+
+
 _SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 

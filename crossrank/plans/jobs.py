@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 from functools import reduce
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from crossrank.sources import files
 SCENARIOS = ("original", "strict", "diagnosis_only")
 GRANULARITIES = ("OncotreeCode", "project_id")
 COND = ("backbone", "scenario", "direction")
+#: Reports that a task slot rewrites between two checkpoints.
+CHECKPOINT_ROWS = 25
 
 
 def load_config(path: str) -> dict:
@@ -39,18 +42,19 @@ def build_pool_cache(spark: SparkSession, cfg: dict, backbone: str, overwrite: b
     files.write_pool_cache(pool(patches), bb["pool_cache_path"], overwrite)
 
 
-def build_prototypes(spark: SparkSession, cfg: dict, backbone: str, settings: Settings = DEFAULTS) -> None:
-    """Adds the banks of slides that have none yet."""
+def build_prototypes(spark: SparkSession, cfg: dict, backbone: str, settings: Settings = DEFAULTS, npz: bool = False) -> None:
+    """Adds the banks of slides that have none yet, as Parquet or (``npz``) as an archive for each slide."""
     bb = cfg["backbones"][backbone]
     patches = files.read_arrays(spark, bb["image_embeddings_dir"])
-    files.append_banks(build_banks(files.missing_banks(spark, patches, bb["prototypes_dir"]), settings), bb["prototypes_dir"])
+    banks = build_banks(files.missing_banks(spark, patches, bb["prototypes_dir"]), settings)
+    (files.append_bank_archives if npz else files.append_banks)(banks, bb["prototypes_dir"])
 
 
 def cases_in_file_order(spark: SparkSession, cfg: dict, splits: tuple[str, ...]) -> DataFrame:
     """``slide_id, case_id, split, gallery_pos``: the cases of some splits in the order of the split table."""
-    t = files.read_table(spark, cfg["cohort"]["split_csv"]).coalesce(1).withColumn("_n", F.monotonically_increasing_id())
-    order = Window.partitionBy(F.lit(0)).orderBy("_n")  # a table of cases, read as one file
-    return t.filter(F.col("split").isin(*splits)).withColumn("gallery_pos", (F.row_number().over(order) - 1).cast("long")).drop("_n")
+    t = files.read_table_in_order(spark, cfg["cohort"]["split_csv"])
+    order = Window.partitionBy(F.lit(0)).orderBy("_file", "_row")  # a table of cases: a few columns of text
+    return t.filter(F.col("split").isin(*splits)).withColumn("gallery_pos", (F.row_number().over(order) - 1).cast("long")).drop("_file", "_row")
 
 
 def cases_by_name(cases: DataFrame) -> DataFrame:
@@ -107,7 +111,7 @@ def run_stress_test(spark: SparkSession, cfg: dict, backbones: list[str] | None
     """Mean pooling alone over all pooled cases; pooled vectors are taken as they are in the cache."""
     out = []
     for b in backbones or list(cfg["backbones"]):
-        cases = cases_by_name(spark.read.parquet(cfg["backbones"][b]["pool_cache_path"]).select("slide_id"))
+        cases = cases_by_name(files.pool_table(spark, cfg["backbones"][b]["pool_cache_path"]).select("slide_id"))
         out.append(experiments.stress_test(pairs(spark, cfg, [b], SCENARIOS, cases, renormalise=False, banks=False), labels(spark, cfg, cases, GRANULARITIES), cases.count()))
     got = reduce(DataFrame.unionByName, out)
     files.write_results(got, f"{cfg['output_dir']}/{files.result_name('stress_test')}")
@@ -124,34 +128,39 @@ def run_score_ablation(spark: SparkSession, cfg: dict, backbone: str, scenario:
     return got
 
 
-def rewrite_reports(spark: SparkSession, csv: str, audit: str, out: str | None = None, ids: str | None = None, pilot: int = 0, seed: int = 0, attempts: int = 3, overwrite: bool = False, rewriter: rewriting.Rewriter = rewriting.stub) -> DataFrame:
+def rewrite_reports(spark: SparkSession, csv: str, audit: str, rewriter: rewriting.Rewriter | str, out: str | None = None, ids: str | None = None, pilot: int = 0, seed: int = 0, attempts: int = 3, overwrite: bool = False) -> DataFrame:
     """Rewrites reports that are still to do, adds their audit records, and writes the table with all rewrites.
 
-    Audit records are written first and read back, so the service is called once for a report even if the table
-    has to be written again. A pilot writes no table. Gives the audit of this run.
+    Reports go in waves of ``CHECKPOINT_ROWS`` for each task slot; a wave's records are in the audit before the next
+    begins, so a run that dies loses a wave at most, and the next run goes on behind it. Failures of the service are
+    waited out. The table is made from the audit, and replaces the old one when it is whole. A pilot writes no table.
+    Gives the audit of this run.
     """
+    rewriter = rewriting.with_backoff(rewriting.load(rewriter) if isinstance(rewriter, str) else rewriter)
     reports = files.read_reports(spark, csv)
     for column in ("case_id", "project_id", cohort.REWRITE):
         reports = reports if column in reports.columns else reports.withColumn(column, F.lit(None).cast("string"))
     todo = cohort.universe(reports, files.read_table(spark, ids) if ids else None)
     todo = cohort.stratified_pilot(todo, pilot, seed) if pilot else todo
     schema = rewriting.AUDIT.format("string")
-    p = spark._jvm.org.apache.hadoop.fs.Path(audit)
-    old = files.read_audit(spark, audit, schema) if p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p) else spark.createDataFrame([], schema)
-    known = cohort.kept_audit(old, todo, overwrite)
-    done = spark.read.schema(schema).json(old.inputFiles()) if old.inputFiles() else old  # the records before this run
-    run = files.scratch_dir(spark) + f"/rewrites-{spark.sparkContext.applicationId}-{abs(hash((csv, audit, pilot, seed)))}"
-    rewriting.rewrite(cohort.to_process(todo, done, overwrite), rewriter, attempts).write.mode("overwrite").json(run)
-    new = spark.read.schema(schema).json(run)
-    if overwrite and old.inputFiles():
-        kept = run + "-kept"
-        known.write.mode("overwrite").json(kept)
-        spark.read.schema(schema).json(kept).write.mode("overwrite").json(audit)
-    files.write_audit(new, audit)
+    files.recover(spark, audit)
+    old = files.read_audit(spark, audit, schema) if files.exists(spark, audit) else spark.createDataFrame([], schema)
+    # What is to do is fixed before the first record is added, and lies in a folder for each wave.
+    slots = spark.sparkContext.defaultParallelism
+    chosen = cohort.to_process(todo, old, overwrite)
+    waves = max(1, -(-chosen.count() // (CHECKPOINT_ROWS * slots)))
+    run = f"{files.scratch_dir(spark)}/rewrites-{uuid4().hex}"
+    chosen.withColumn("wave", F.pmod(F.xxhash64("slide_id"), F.lit(waves))).write.partitionBy("wave").parquet(run)
+    fixed = spark.read.schema(chosen.schema.add("wave", "long")).parquet(run)
+    if overwrite and files.exists(spark, audit):
+        known = cohort.kept_audit(old, todo, overwrite)
+        files.replace(spark, audit, known.write.json)
+    for wave in range(waves):
+        files.write_audit(rewriting.rewrite(fixed.filter(F.col("wave") == wave).drop("wave").repartition(slots), rewriter, attempts), audit)
+    every = files.read_audit(spark, audit, schema)
     if out and not pilot:
-        every = files.read_audit(spark, audit, schema)
         files.write_reports(cohort.backfill(reports.withColumn(cohort.REWRITE, F.lit(None).cast("string")) if overwrite else reports, every), out)
-    return new
+    return every.join(fixed.select("slide_id").distinct(), "slide_id", "left_semi")
 
 
 def diagnosis_only(spark: SparkSession, csv: str, out: str, ids: str | None = None) -> DataFrame:

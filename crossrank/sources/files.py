@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import re
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from io import BytesIO
 
 import numpy as np
@@ -20,16 +20,50 @@ MISSING = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a session without ``spark.checkpoint.dir`` is a local one."""
+    """The folder that the driver and all executors see; only a local session may do without ``spark.checkpoint.dir``."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return where or "file://" + os.path.join(tempfile.gettempdir(), "crossrank-scratch")
 
 
+def _store(spark: SparkSession, path: str):
+    """The path and its store, whichever Spark can reach."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    p, store = _store(spark, path)
+    return store.exists(p)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts back what a replacement that was cut short had moved aside."""
+    p, store = _store(spark, path)
+    old = p.suffix("._old")
+    if store.exists(old) and not store.exists(p):
+        store.rename(old, p)
+
+
+def replace(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Replaces a file or folder by what ``write`` makes beside it; until that is whole the old one stays."""
+    recover(spark, path)
+    p, store = _store(spark, path)
+    new, old = p.suffix("._new"), p.suffix("._old")
+    store.delete(new, True)
+    write(new.toString())
+    store.delete(old, True)
+    if store.exists(p):
+        store.rename(p, old)
+    store.rename(new, p)
+    store.delete(old, True)
+
+
 def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     """One file in any store that Spark can reach."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    p, store = _store(spark, path)
+    out = store.create(p, True)
     try:
         out.write(data)
     finally:
@@ -94,34 +128,82 @@ def read_bank_npz(spark: SparkSession, folder: str) -> DataFrame:
     return named.mapInArrow(run, "slide_id string, h int, emb array<double>, " + ", ".join(f"{f.lower()} double" for f in figures))
 
 
+def pool_table(spark: SparkSession, path: str) -> DataFrame:
+    """``slide_id, mean_pool, max_pool`` of a cache in either format."""
+    return read_pool_npz(spark, path) if path.endswith(".npz") else spark.read.parquet(path)
+
+
 def write_pool_cache(pooled: DataFrame, path: str, overwrite: bool = False) -> None:
-    """Pooled vectors as floats; an existing cache stays unless it is to be overwritten."""
+    """Pooled vectors as floats; an existing cache stays unless it is to be overwritten.
+
+    A path that ends in ``.npz`` gets one archive, in the order of the ids, which the driver writes and so must hold;
+    all others get Parquet.
+    """
+    spark = pooled.sparkSession
+    recover(spark, path)
+    if exists(spark, path) and not overwrite:
+        return
     out = pooled.select("slide_id", F.col("mean_pool").cast("array<float>").alias("mean_pool"), F.col("max_pool").cast("array<float>").alias("max_pool"))
-    out.write.mode("overwrite" if overwrite else "ignore").parquet(path)
+    if not path.endswith(".npz"):
+        replace(spark, path, out.write.parquet)
+        return
+    got = out.orderBy("slide_id").toArrow()
+    vectors = {c: np.array(got.column(c).to_pylist(), np.float32) for c in ("mean_pool", "max_pool")}
+    data = BytesIO()
+    np.savez(data, case_ids=np.array([str(i) for i in got.column("slide_id").to_pylist()]), **vectors)
+    replace(spark, path, lambda to: write_bytes(spark, to, data.getvalue()))
 
 
 def read_pool_cache(spark: SparkSession, path: str, cases: DataFrame, renormalise: bool = True) -> DataFrame:
     """Mean-pooled vectors of the given cases as doubles; columns that are not asked for are not read."""
-    table = read_pool_npz(spark, path) if path.endswith(".npz") else spark.read.parquet(path)
-    cache = table.select("slide_id", as_doubles(F.col("mean_pool")).alias("emb")).join(cases, "slide_id")
+    cache = pool_table(spark, path).select("slide_id", as_doubles(F.col("mean_pool")).alias("emb")).join(cases, "slide_id")
     return cache.withColumn("emb", unit(F.col("emb"))) if renormalise else cache
 
 
+def _bank_files(spark: SparkSession, path: str) -> DataFrame:
+    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*_prototype.npz").load(path)
+    return raw.select(F.regexp_extract("path", r"([^/]+)_prototype\.npz$", 1).alias("slide_id"))
+
+
+def archived_banks(spark: SparkSession, path: str) -> bool:
+    """Whether a folder has a bank in an archive of its own for each slide, rather than Parquet."""
+    p, store = _store(spark, path + "/*_prototype.npz")
+    found = store.globStatus(p)
+    return found is not None and len(found) > 0
+
+
 def missing_banks(spark: SparkSession, patches: DataFrame, path: str) -> DataFrame:
     """Patches of slides that have no bank at ``path`` yet."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not exists(spark, path):
         return patches
-    return patches.join(spark.read.parquet(path).select("slide_id").distinct(), "slide_id", "left_anti")
+    known = _bank_files(spark, path) if archived_banks(spark, path) else spark.read.parquet(path)
+    return patches.join(known.select("slide_id").distinct(), "slide_id", "left_anti")
 
 
 def append_banks(banks: DataFrame, path: str) -> None:
     banks.write.mode("append").parquet(path)
 
 
+def append_bank_archives(banks: DataFrame, path: str) -> None:
+    """An archive ``<slide>_prototype.npz`` for each slide. Executors make them; the driver writes one after another."""
+    figures = {"k_star": ("K_star", np.int32), "coverage": ("coverage", np.float32), "support": ("support", np.float32), "utility": ("utility", np.float32), "q_proto": ("q_proto", np.float32), "n_patches": ("n_patches", np.int32)}
+
+    def archive(group: pa.Table) -> pa.Table:
+        group = group.sort_by("h")
+        first = {k: group.column(k)[0].as_py() for k in figures}
+        data = BytesIO()
+        np.savez_compressed(data, prototypes=np.array(group.column("emb").to_pylist(), np.float32), **{to: np.array([np.nan if first[k] is None else first[k]], t) for k, (to, t) in figures.items()})
+        return pa.table({"slide_id": [str(group.column("slide_id")[0].as_py())], "content": pa.array([data.getvalue()], pa.binary())})
+
+    spark = banks.sparkSession
+    for r in banks.groupBy("slide_id").applyInArrow(archive, "slide_id string, content binary").toLocalIterator():
+        replace(spark, f"{path}/{r.slide_id}_prototype.npz", lambda to, data=bytes(r.content): write_bytes(spark, to, data))
+
+
 def read_banks(spark: SparkSession, path: str) -> DataFrame:
-    """``slide_id, h, emb`` with unit vectors of doubles."""
-    return spark.read.parquet(path).select("slide_id", "h", unit(as_doubles(F.col("emb"))).alias("emb"))
+    """``slide_id, h, emb`` with unit vectors of doubles, from either format."""
+    held = read_bank_npz(spark, path) if archived_banks(spark, path) else spark.read.parquet(path)
+    return held.select("slide_id", "h", unit(as_doubles(F.col("emb"))).alias("emb"))
 
 
 def _known(df: DataFrame) -> DataFrame:
@@ -133,6 +215,13 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return _known(spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"'))
 
 
+def read_table_in_order(spark: SparkSession, path: str) -> DataFrame:
+    """``read_table`` with ``_file`` and ``_row``, by which rows sort as they stand in the files, in the order of names."""
+    raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')  # a file with such rows is not split
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_row"))
+    return _known(placed.select(*raw.columns, "_file", F.col("_row").cast("string").alias("_row"))).withColumn("_row", F.col("_row").cast("long"))
+
+
 def read_reports(spark: SparkSession, path: str) -> DataFrame:
     """The semicolon-separated master table of reports, without unnamed columns; texts may hold line ends."""
     df = spark.read.csv(path, header=True, sep=";", multiLine=True, quote='"', escape='"')
@@ -140,12 +229,12 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_reports(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True, sep=";", quote='"', escape='"')
+    replace(df.sparkSession, path, lambda to: df.write.csv(to, header=True, sep=";", quote='"', escape='"'))
 
 
 def write_results(df: DataFrame, path: str) -> None:
     """A result table as one file (results have a row for each condition)."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    replace(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, header=True))
 
 
 def result_name(kind: str, *parts: str) -> str:

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from crossrank.__main__ import main
+from crossrank.operators import rewriting
 from crossrank.plans import jobs
 from crossrank.sources import files
 
@@ -47,7 +48,7 @@ def log_softmax(x, axis):
 def macro_map(s, labels):
     out = {}
     for q in range(len(s)):
-        rel = np.array([labels[c] == labels[q] for c in np.argsort(-np.round(s[q], 9), kind="stable")[:10]])
+        rel = np.array([labels[c] == labels[q] for c in np.argsort(-s[q], kind="stable")[:10]])
         hits = [rel[: k + 1].sum() / (k + 1) for k in np.flatnonzero(rel)]
         out.setdefault(labels[q], []).append(sum(hits) / min(labels.count(labels[q]), len(rel)))
     return np.mean([np.mean(v) for v in out.values()])
@@ -95,12 +96,91 @@ def test_report_jobs(spark, tmp_path):
     ids = tmp_path / "ids.csv"
     ids.write_text("slide_id\nr0\nr1\nr2\nr3\nr9\n")
     audit, out = str(tmp_path / "audit"), str(tmp_path / "out")
-    first = jobs.rewrite_reports(spark, str(csv), audit, out, str(ids), pilot=2).count()
+    first = jobs.rewrite_reports(spark, str(csv), audit, rewriting.stub, out, str(ids), pilot=2).count()
     assert first in (1, 2)  # the report without a text may be drawn
-    assert jobs.rewrite_reports(spark, str(csv), audit, out, str(ids)).count() == 4 - first and jobs.rewrite_reports(spark, str(csv), audit, out, str(ids)).count() == 0
+    assert jobs.rewrite_reports(spark, str(csv), audit, rewriting.stub, out, str(ids)).count() == 4 - first and jobs.rewrite_reports(spark, str(csv), audit, rewriting.stub, out, str(ids)).count() == 0
     table = {r.slide_id: r for r in files.read_reports(spark, out).collect()}
     assert len(table) == 7 and table["r0"].slide_reports_no_diagnosis_strict.startswith("Sheets") and table["r5"].slide_reports_no_diagnosis_strict is None
-    again = jobs.rewrite_reports(spark, str(csv), audit, out, str(ids), overwrite=True).count()
+    again = jobs.rewrite_reports(spark, str(csv), audit, rewriting.stub, out, str(ids), overwrite=True).count()
     assert again == 4 and spark.read.json(audit).count() == 4
     main(["diagnosis-only", "--csv", str(csv), "--out", str(tmp_path / "d"), "--ids", str(ids)], spark)
     assert files.read_reports(spark, str(tmp_path / "d")).count() == 5
+
+
+def test_a_rewriter_must_be_named(spark, tmp_path):
+    with pytest.raises(SystemExit):
+        main(["rewrite-reports", "--csv", "x", "--audit", "y"], spark)
+
+
+def test_a_run_that_dies_goes_on_without_a_second_call(spark, tmp_path, monkeypatch):
+    """The service fails at one report in the second wave; the next run calls only for those without a record."""
+    text = "Sheets of cells with round nuclei and clear cytoplasm; many mitoses"
+    csv, audit, out, calls = tmp_path / "m.csv", str(tmp_path / "audit"), str(tmp_path / "out"), tmp_path / "calls"
+    csv.write_text("slide_id;case_id;project_id;slide_reports;cancer_type_detailed;site_of_resection_or_biopsy\n" + "".join(f'r{k};c{k};p;"{text} number {k} of all";Glioma;NA\n' for k in range(40)))
+    calls.mkdir()
+    monkeypatch.setattr(jobs, "CHECKPOINT_ROWS", 2)
+
+    def service(broken):
+        def call(instructions, payload):
+            k = payload.split("number ")[1].split()[0]
+            if k == broken:
+                raise RuntimeError("out of credit")
+            with open(calls / k, "a") as f:
+                f.write("x")
+            return rewriting.stub(instructions, payload)
+
+        return call
+
+    wave = {r.slide_id: r.wave for r in spark.createDataFrame([(f"r{k}",) for k in range(40)], "slide_id string").selectExpr("slide_id", "pmod(xxhash64(slide_id), 5) as wave").collect()}
+    broken = next(k for k in range(40) if wave[f"r{k}"] == 2)
+    with pytest.raises(Exception, match="out of credit"):
+        jobs.rewrite_reports(spark, str(csv), audit, service(str(broken)), out)
+    done = {r.slide_id for r in spark.read.json(audit).collect()}
+    assert done == {i for i, w in wave.items() if w < 2} and not (tmp_path / "out").exists()
+    before = {k: len((calls / k[1:]).read_text()) for k in done}
+    assert jobs.rewrite_reports(spark, str(csv), audit, service("none"), out).count() == 40 - len(done)
+    assert {k: len((calls / k[1:]).read_text()) for k in done} == before == dict.fromkeys(done, 1)
+    assert spark.read.json(audit).count() == 40 and files.read_reports(spark, out).count() == 40
+
+
+def test_replacement_is_all_or_nothing(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_reports(spark.range(3).selectExpr("cast(id as string) slide_id"), path)
+    with pytest.raises(Exception, match="no good"):
+        files.write_reports(spark.range(3).selectExpr("cast(raise_error('no good') as string) slide_id"), path)
+    assert files.read_reports(spark, path).count() == 3
+    (tmp_path / "t").rename(tmp_path / "t._old")  # cut short between the two renames
+    files.recover(spark, path)
+    assert files.read_reports(spark, path).count() == 3
+    files.write_reports(files.read_reports(spark, path).limit(1), path)  # reads what it replaces
+    assert files.read_reports(spark, path).count() == 1 and not (tmp_path / "t._old").exists()
+
+
+def test_archives_in_every_job(spark, layout):
+    """Pool caches and banks as archives give what Parquet gives."""
+    top, cfg, _, ids = layout
+    for b in ("A", "B"):
+        jobs.build_pool_cache(spark, cfg, b)
+        jobs.build_prototypes(spark, cfg, b)
+    other = {**cfg, "output_dir": str(top / "out2"), "backbones": {b: {**c, "pool_cache_path": str(top / f"{b}.npz"), "prototypes_dir": str(top / f"{b}-archives")} for b, c in cfg["backbones"].items()}}
+    for b in ("A", "B"):
+        jobs.build_pool_cache(spark, other, b)
+        for _ in range(2):  # the second adds nothing
+            jobs.build_prototypes(spark, other, b, npz=True)
+    z = np.load(top / "A.npz")
+    assert sorted(z["case_ids"].tolist()) == z["case_ids"].tolist() and z["mean_pool"].dtype == np.float32 and len(list((top / "A-archives").glob("*_prototype.npz"))) == N
+    key = lambda rows: sorted((r.backbone, r.scenario, r.direction, r.granularity, round(r[-1], 9)) for r in rows)
+    assert key(jobs.run_stress_test(spark, cfg).collect()) == key(jobs.run_stress_test(spark, other).collect())
+    one, two = (jobs.run_heldout(spark, c, "A").orderBy("direction").collect() for c in (cfg, other))
+    assert [r["mAP@10"] for r in one] == pytest.approx([r["mAP@10"] for r in two])
+
+
+def test_gallery_order_is_that_of_the_files(spark, layout, tmp_path):
+    top, cfg, _, _ = layout
+    (tmp_path / "splits").mkdir()
+    names = [f"n{k}" for k in RNG.permutation(60)]
+    for part in range(3):  # the first by name is the smallest
+        rows = names[[0, 5, 25][part] : [5, 25, 60][part]]
+        (tmp_path / "splits" / f"part-{part}.csv").write_text("slide_id,case_id,split\n" + "".join(f"{n},c,test\n" for n in rows))
+    got = jobs.cases_in_file_order(spark, {"cohort": {"split_csv": str(tmp_path / "splits")}}, ("test",)).orderBy("gallery_pos").collect()
+    assert [r.slide_id for r in got] == names

@@ -47,6 +47,21 @@ def test_backoff_waits_and_gives_up():
 
     with pytest.raises(ConnectionError):
         rewriting.with_backoff(down, 2, waits.append)("", "")
+    many = iter([rewriting.RateLimited("busy")] * 500)
+
+    def busy(a, b):
+        for e in many:
+            raise e
+        return "at last"
+
+    waits.clear()
+    assert rewriting.with_backoff(busy, sleep=waits.append)("", "") == "at last" and waits == [30] * 500  # for as long as it takes
+
+
+def test_a_rewriter_is_named_by_module_and_function():
+    assert rewriting.load("crossrank.operators.rewriting:stub") is rewriting.stub
+    with pytest.raises(ValueError, match="module:function"):
+        rewriting.load("crossrank.operators.rewriting")
 
 
 def test_reply_schema(spark):
@@ -95,5 +110,5 @@ def test_streamed_rewriting(spark, tmp_path):
     df.write.parquet(f"{tmp_path}/in")
     stream = spark.readStream.schema(df.schema).parquet(f"{tmp_path}/in")
     for _ in range(2):  # the second run finds nothing new
-        rewrite_stream(stream, f"{tmp_path}/audit", f"{tmp_path}/checkpoint").awaitTermination()
+        rewrite_stream(stream, f"{tmp_path}/audit", f"{tmp_path}/checkpoint", rewriting.stub).awaitTermination()
     assert spark.read.json(f"{tmp_path}/audit").count() == 2
