@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import io
 import uuid
 from collections.abc import Callable
 
@@ -790,27 +789,20 @@ def _place(s, name: str) -> str:
     return f"{files.scratch_dir(s)}/{name}-{uuid.uuid4().hex}"
 
 
-def _saved_arrays(s, folder: str) -> None:
-    rng = np.random.default_rng(3)
-    for k in range(3):
-        out = io.BytesIO()
-        np.save(out, rng.normal(size=(5 + k, 8)).astype(np.float32))
-        files.write_bytes(s, f"{folder}/case{k}.npy", out.getvalue())
-
-
-@query()
+@query(_dims_sql(sql.VECTORS, "(SELECT slide_id, rn - 4 AS patch_idx, emb FROM v WHERE rn > 3)", "emb", "slide_id", "patch_idx"))
 def q_npy_scan(s, d):
-    _saved_arrays(s, where := _place(s, "npy"))
-    return files.read_arrays(s, where).groupBy("slide_id").agg(F.count("*").alias("n"), F.min(F.size("emb")).alias("dim"))
+    files.write_arrays(fixtures.patches(s, d), where := _place(s, "npy"))
+    return by_dim(files.read_arrays(s, where).select(F.col("slide_id").cast("long").alias("slide_id"), "patch_idx", F.col("emb").cast("array<double>").alias("emb")), "emb", "slide_id", "patch_idx")
 
 
-@query()
+@query(_dims_sql(f"{sql.VECTORS}, u AS (SELECT slide_id, {sql.unit('emb')} AS emb FROM v WHERE rn = 2)", "u", "emb", "slide_id"))
 def q_text_vectors(s, d):
-    _saved_arrays(s, where := _place(s, "vectors"))
-    return files.read_text_vectors(s, where).select("slide_id", r6(vx.norm(F.col("emb"))).alias("norm"))
+    strict = fixtures.reports(s, d).filter("scenario = 'strict'").select("slide_id", F.lit(0).alias("patch_idx"), "emb")
+    files.write_arrays(strict, where := _place(s, "vectors"))
+    return by_dim(files.read_text_vectors(s, where).withColumn("slide_id", F.col("slide_id").cast("long")), "emb", "slide_id")
 
 
-@query()
+@query(_dims_sql(f"{sql.pairs()}, f AS (SELECT slide_id, CAST(CAST(mean_pool AS FLOAT[]) AS DOUBLE[]) AS m FROM pool), u AS (SELECT slide_id, {sql.unit('m')} AS emb FROM f)", "u", "emb", "slide_id"))
 def q_pool_cache(s, d):
     where = _place(s, "pool")
     made = fixtures.pooled(s, d).drop("backbone")
@@ -827,14 +819,17 @@ def q_bank_sink_resume(s, d):
     return files.read_banks(s, where).groupBy("slide_id").agg(F.count("*").alias("n"), F.count_distinct("h").alias("n_h"))
 
 
-@query()
+@query(f"WITH {sql.VECTORS}, {sql.SLIDES} SELECT CAST(slide_id AS VARCHAR) AS slide_id, CAST(case_id AS VARCHAR) AS case_id, split, CASE WHEN slide_id % 5 <> 0 THEN 'x' END AS note FROM slides")
 def q_csv_roundtrip(s, d):
     where = _place(s, "splits")
     files.write_results(fixtures.slides(s, d).select("slide_id", "case_id", "split", F.when(F.col("slide_id") % 5 == 0, "NA").otherwise("x").alias("note")), where)
     return files.read_table(s, where)
 
 
-@query()
+_READ_BACK = ", ".join(f"CASE WHEN CAST({c} AS VARCHAR) NOT IN ({', '.join(repr(m) for m in files.MISSING)}) THEN CAST({c} AS VARCHAR) END AS {c}" for c in ("slide_id", "case_id", "project_id", "slide_reports", "cancer_type_detailed", "site_of_resection_or_biopsy", "slide_reports_no_diagnosis_strict"))
+
+
+@query(f"WITH {sql.TEXTS} SELECT {_READ_BACK} FROM rt")
 def q_csv_master_scan(s, d):
     where = _place(s, "master")
     files.write_reports(fixtures.reports_text(s, d), where)

@@ -89,6 +89,22 @@ def read_arrays(spark: SparkSession, folder: str) -> DataFrame:
     return named.mapInArrow(run, "slide_id string, patch_idx long, emb array<float>")
 
 
+def write_arrays(rows: DataFrame, folder: str) -> None:
+    """A ``.npy`` matrix of floats for each slide, from ``slide_id, patch_idx, emb``.
+
+    Executors make them; the driver writes one after another, as each is a file of its own.
+    """
+
+    def one(group: pa.Table) -> pa.Table:
+        group, data = group.sort_by("patch_idx"), BytesIO()
+        np.save(data, np.array(group.column("emb").to_pylist(), np.float32))
+        return pa.table({"slide_id": [str(group.column("slide_id")[0].as_py())], "content": pa.array([data.getvalue()], pa.binary())})
+
+    spark = rows.sparkSession
+    for r in rows.select("slide_id", "patch_idx", "emb").groupBy("slide_id").applyInArrow(one, "slide_id string, content binary").toLocalIterator():
+        write_bytes(spark, f"{folder}/{r.slide_id}.npy", bytes(r.content))
+
+
 def read_text_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """``slide_id, emb``: one unit vector of doubles for each file."""
     return read_arrays(spark, folder).filter("patch_idx = 0").select("slide_id", unit(as_doubles(F.col("emb"))).alias("emb"))
@@ -228,13 +244,17 @@ def read_reports(spark: SparkSession, path: str) -> DataFrame:
     return _known(df.drop(*[c for c in df.columns if re.match(r"Unnamed|_c\d+$|$", c)]))
 
 
+#: Values as they are: Spark's writer would trim them.
+WRITTEN = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_reports(df: DataFrame, path: str) -> None:
-    replace(df.sparkSession, path, lambda to: df.write.csv(to, header=True, sep=";", quote='"', escape='"'))
+    replace(df.sparkSession, path, lambda to: df.write.csv(to, sep=";", **WRITTEN))
 
 
 def write_results(df: DataFrame, path: str) -> None:
     """A result table as one file (results have a row for each condition)."""
-    replace(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, header=True))
+    replace(df.sparkSession, path, lambda to: df.coalesce(1).write.csv(to, **WRITTEN))
 
 
 def result_name(kind: str, *parts: str) -> str:

@@ -32,3 +32,15 @@ def test_arrays_reports_and_tables(spark, tmp_path):
     (tmp_path / "c.yaml").write_text("a: {b: [1, 2]}\n")
     assert files.read_config(f"{tmp_path}/c.yaml") == {"a": {"b": [1, 2]}}
     assert files.result_name("grid", "A", "x") == "grid_A_x.csv"
+
+
+def test_reports_keep_their_blanks(spark, tmp_path):
+    rows = [("a", " both ends \n"), ("b", 'a "quoted" ; part'), ("c", "\ttab"), ("d", None)]
+    files.write_reports(spark.createDataFrame(rows, "slide_id string, slide_reports string"), f"{tmp_path}/m")
+    assert sorted(map(tuple, files.read_reports(spark, f"{tmp_path}/m").collect())) == rows
+
+
+def test_arrays_come_back(spark, tmp_path):
+    rows = [("x", k, [float(k), 0.5]) for k in (2, 0, 1)] + [("y", 0, [9.0, 8.0])]
+    files.write_arrays(spark.createDataFrame(rows, "slide_id string, patch_idx int, emb array<double>"), f"{tmp_path}/n")
+    assert sorted(map(tuple, files.read_arrays(spark, f"{tmp_path}/n").collect())) == sorted(rows)
