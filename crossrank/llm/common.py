@@ -34,11 +34,22 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+def stored(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``df`` as a Parquet table in the shared folder, and where it lies."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    return stored(spark, df, name)[0]
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a stored table that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
