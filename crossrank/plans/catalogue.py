@@ -187,20 +187,13 @@ def q_near_best_k(s, d):
     return prototypes.near_best(_bank_stats(s, d)).select("slide_id", "k", r6("q_proto").alias("q_proto"))
 
 
-def _refined_sql(cut: str = "") -> str:
+def _refined_sql() -> str:
     return _dims_sql(_FIXED + f""",
-w AS (SELECT a.slide_id, a.k, a.h, vec_id, u, exp(list_dot_product(u, p) / 0.05 - max(list_dot_product(u, p) / 0.05) OVER (PARTITION BY a.slide_id, a.k, a.h)) AS w FROM a JOIN pr ON a.slide_id = pr.slide_id AND a.k = pr.k AND a.h = pr.h{cut}),
+w AS (SELECT a.slide_id, a.k, a.h, vec_id, u, exp(list_dot_product(u, p) / 0.05 - max(list_dot_product(u, p) / 0.05) OVER (PARTITION BY a.slide_id, a.k, a.h)) AS w FROM a JOIN pr ON a.slide_id = pr.slide_id AND a.k = pr.k AND a.h = pr.h),
 wd AS (SELECT slide_id, k, h, w, unnest(u) AS x, generate_subscripts(u, 1) AS j FROM w), wm AS (SELECT slide_id, k, h, j, sum(w * x) / sum(w) AS m FROM wd GROUP BY ALL),
 wl AS (SELECT slide_id, CAST(k AS INTEGER) AS k, h, list(m ORDER BY j) AS m FROM wm GROUP BY ALL), rf AS (SELECT slide_id, k, h, {sql.unit('m')} AS p FROM wl)""", "rf", "p", "slide_id", "k", "h")
 
 
-@query(_refined_sql(" WHERE a.k <= 4"))
-def q_refine_prototypes(s, d):
-    a, _ = _fixed(s, d)
-    small = a.filter("k <= 4").groupBy("slide_id", "k").applyInPandas(_refined, "slide_id long, k int, h long, emb array<double>")
-    return by_dim(small, "emb", "slide_id", "k", "h")
-
-
 @query(_refined_sql())
 def q_refine_prototypes_all(s, d):
     a, _ = _fixed(s, d)
@@ -576,12 +569,6 @@ def q_one_paragraph(s, d):
     return fixtures.reports_text(s, d).select("slide_id", tx.one_paragraph(F.col("slide_reports")).alias("line"))
 
 
-@query(f"WITH {sql.TEXTS}, l AS (SELECT slide_id, substr({sql.one_paragraph('slide_reports')}, 1, 1 + slide_id % 50) AS x FROM rt), m AS (SELECT slide_id, {sql.one_paragraph('x')} AS x FROM l) SELECT slide_id, {sql.ensure_period('x')} AS sentence FROM m")
-def q_ensure_period(s, d):
-    line = tx.one_paragraph(F.col("slide_reports"))
-    return fixtures.reports_text(s, d).select("slide_id", tx.ensure_period(line.substr(F.lit(1), (F.col("slide_id") % 50 + 1).cast("int"))).alias("sentence"))
-
-
 @query(f"WITH {sql.TEXTS}, l AS (SELECT slide_id, {sql.one_paragraph('slide_reports')} AS x FROM rt) SELECT slide_id, {sql.ensure_period('x')} AS sentence FROM l")
 def q_ensure_period_whole(s, d):
     return fixtures.reports_text(s, d).select("slide_id", tx.ensure_period(tx.one_paragraph(F.col("slide_reports"))).alias("sentence"))
