@@ -55,8 +55,6 @@ STOPWORDS = (
     "malignant", "nerve",
 )
 
-_FLAGS = "(?iuU)"
-
 
 def _strip(s: Column) -> Column:
     return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
@@ -101,16 +99,25 @@ def literal(pattern: str) -> str:
     return max(re.sub(r".[?*]", "\0", plain).split("\0"), key=len)
 
 
+def _searched(pattern: str) -> str:
+    """A static pattern for lower-case, folded texts. Its first letter is looked for before the border in front of it,
+    which costs far more a character."""
+    first = re.match(r"\\b([a-z])", pattern)
+    return f"(?U)(?={first[1]}){pattern}" if first else f"(?U){pattern}"
+
+
 def static_hits(text: Column) -> Column:
     """Static patterns that match, in their order; a pattern is tried where its plain part occurs."""
     text = F.coalesce(text, F.lit(""))
-    hit = lambda low, p: F.when(low.contains(literal(p)) & text.rlike(_FLAGS + p), F.lit(p))
+    hit = lambda low, p: F.when(low.contains(literal(p)) & low.rlike(_searched(p)), F.lit(p))
     return bind(F.lower(F.translate(text, *FOLDED)), lambda low: F.array_compact(F.array(*[hit(low, p) for p in STATIC_PATTERNS])))
 
 
 def dynamic_hits(text: Column, terms: Column) -> Column:
-    text = F.coalesce(text, F.lit(""))
-    return F.filter(terms, lambda t: F.regexp_like(text, F.concat(F.lit(_FLAGS + r"\b"), t, F.lit(r"\w*\b"))))
+    """Terms that begin a word of the text, in their order; a term is tried where it occurs at all."""
+    folded = lambda c: F.lower(F.translate(c, *FOLDED))
+    begins = lambda low, t: low.contains(t) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b"), t))
+    return bind(folded(F.coalesce(text, F.lit(""))), lambda low: F.filter(terms, lambda t: begins(low, folded(t))))
 
 
 def leakage(text: Column, terms: Column) -> Column:

@@ -1,3 +1,5 @@
+import random
+
 import math
 import re
 
@@ -75,3 +77,17 @@ def test_dynamic_terms_are_prefixes(spark):
 
 def test_plain_parts_of_patterns():
     assert [tx.literal(p) for p in (r"\bfavor(s|ing)?\b", r"\bhbme1?\b", r"\bcd\d{1,3}\b", r"\bsite of origin\b", r"\bki[\s-]?67\b", r"\b\d+(\.\d+)?\s*(cm|mm)\b")] == ["favor", "hbme", "cd", "site of origin", "ki", ""]
+
+
+def test_leaks_equal_plain_searches_without_case(spark):
+    """Folded texts give what the patterns give on the texts themselves when case does not count."""
+    rnd = random.Random(1)
+    parts = ["er", "ER", "Gleason", "gleaſon", "MARGINS", "Ki-67", "ki 67", "CK 7", "cd20", "CD 3", "P53x", "5.0 cm", "İt", "fırm", "FIRM", "Grade IV", "grade 3", "high-grade", "her2é", "éer", "er_", "ther", "\n", "-", ".", "ſ100", "melan-a", "immunohistochemistry", "pT2", "stage iii", "٠ cm", "BREAST", "breasts", "xbreast", "ASSİSE", "ſkin"]
+    terms = ["breast", "Assise", "skin", "glio"]
+    rows = [(i, rnd.choice([" ", ""]).join(rnd.choices(parts, k=rnd.randrange(0, 9))), terms) for i in range(1500)] + [(9000, None, terms)]
+    text = F.coalesce("t", F.lit(""))
+    plain = F.array_compact(F.array(*[F.when(text.rlike("(?iuU)" + p), F.lit(p)) for p in tx.STATIC_PATTERNS]))
+    named = F.filter("w", lambda w: F.regexp_like(text, F.concat(F.lit(r"(?iuU)\b"), w, F.lit(r"\w*\b"))))
+    df = spark.createDataFrame(rows, "i long, t string, w array<string>")
+    got = df.select(tx.static_hits(F.col("t")).alias("a"), plain.alias("b"), tx.dynamic_hits(F.col("t"), F.col("w")).alias("c"), named.alias("d")).collect()
+    assert all(r.a == r.b and r.c == r.d for r in got) and sum(len(r.a) for r in got) > 1500 and sum(len(r.c) for r in got) > 100
