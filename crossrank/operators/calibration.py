@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from crossrank.functions.vectors import scaled_log_softmax
+from crossrank.functions.vectors import SCALE_EPS
 
 #: Names of the score variants.
 VARIANTS = (
@@ -22,17 +22,21 @@ VARIANTS = (
 def _strip(pairs: DataFrame, keys: list[str], pos: str, values: dict[str, str], factor: float) -> DataFrame:
     """Adds to each row the log-softmax of its strip (all rows of ``keys``) for each value column.
 
-    One shuffle gathers a strip, sorts it by ``pos`` and folds in that order: equal strips give equal results bit
-    for bit, however rows were dealt. A strip is one row or column of the similarity matrix, so its size is the
-    gallery's.
+    All windows have one partitioning and one order, so there is one shuffle and one sort, and sums fold by ``pos``:
+    equal strips give equal results bit for bit, however rows were dealt. A strip is one row or column of the similarity
+    matrix; its rows stay apart and may spill, so it need not fit in memory. A null score counts in no sum and stays null.
     """
-    rest = [c for c in pairs.columns if c not in keys]
-    strips = pairs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("_at"), F.struct(*rest).alias("_row")))).alias("_s"))
-    column = lambda name: F.transform("_s", lambda r: r["_row"][name])
-    for name, value in values.items():
-        strips = strips.withColumn(name, scaled_log_softmax(column(value), factor))
-    flat = strips.select(*keys, F.explode(F.arrays_zip(F.transform("_s", lambda r: r["_row"]).alias("r"), *values)).alias("_z"))
-    return flat.select(*keys, *[F.col(f"_z.r.{c}").alias(c) for c in rest], *[F.col(f"_z.{n}").alias(n) for n in values])
+    strip = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    value = {n: F.col(v).cast("double") for n, v in values.items()}
+    with_mean = pairs.withColumns({f"_mean_{n}": F.sum(x).over(strip) / F.count(x).over(strip) for n, x in value.items()} | {f"_top_{n}": F.max(x).over(strip) for n, x in value.items()})
+    off = {n: x - F.col(f"_mean_{n}") for n, x in value.items()}
+    scale = {n: F.greatest(F.sqrt(F.sum(o * o).over(strip) / F.count(o).over(strip)) * factor, F.lit(SCALE_EPS)) for n, o in off.items()}
+    scaled = with_mean.withColumns({f"_scale_{n}": s for n, s in scale.items()})
+    top = {n: F.col(f"_top_{n}") / F.col(f"_scale_{n}") for n in values}  # scales are positive: the top stays the top
+    total = {n: F.sum(F.exp(x / F.col(f"_scale_{n}") - top[n])).over(strip) for n, x in value.items()}
+    summed = scaled.withColumns({f"_total_{n}": t for n, t in total.items()})
+    made = {n: x / F.col(f"_scale_{n}") - (top[n] + F.log(F.col(f"_total_{n}"))) for n, x in value.items()}
+    return summed.select(*[F.col(c) for c in pairs.columns], *[m.alias(n) for n, m in made.items()])
 
 
 def direct(pairs: DataFrame, values: dict[str, str], cond: tuple[str, ...] = (), factor: float = 1.0) -> DataFrame:

@@ -67,6 +67,24 @@ def test_score_formula_variants_and_constant_rows(spark):
     assert np.isfinite(dense(flat, "s", (4, 5))).all()
 
 
+def test_a_null_score_counts_in_no_sum_and_stays_null(spark):
+    x = RNG.normal(size=(5, 6))
+    hole = (F.col("query_id") == 2) & (F.col("cand_id") == 3)
+    holed = pair_frame(spark, x).withColumn("s_g", F.when(~hole, F.col("s_g")))
+    got = {(r.query_id, r.cand_id): r.d_g for r in calibration.direct(holed, {"d_g": "s_g"}).collect()}
+    want = log_softmax(x, 1)
+    want[2, [0, 1, 2, 4, 5]] = log_softmax(x[2:3, [0, 1, 2, 4, 5]], 1)[0]
+    assert got.pop((2, 3)) is None
+    assert all(np.isclose(v, want[k]) for k, v in got.items()) and len(got) == 29
+
+
+def test_a_strip_never_becomes_one_row_and_costs_one_shuffle_and_sort(spark):
+    plan = calibration.calibrate(pair_frame(spark, RNG.normal(size=(4, 5))))._jdf.queryExecution().sparkPlan().toString()
+    whole = calibration.calibrate(pair_frame(spark, RNG.normal(size=(4, 5))))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "Generate" not in plan and "Join" not in plan
+    assert whole.count("Exchange hashpartitioning") == 2 and whole.count("+- Sort [") == 2
+
+
 def test_equal_reports_score_equal_bit_for_bit_in_any_partitioning(spark):
     slides, texts = unit(RNG.normal(size=(9, 16))), unit(RNG.normal(size=(7, 16)))
     texts = np.concatenate([texts, texts])
