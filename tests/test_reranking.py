@@ -270,3 +270,37 @@ def test_means_do_not_depend_on_the_order_of_rows(spark):
     df = spark.createDataFrame(rows, "query_id long, label string, eligible boolean, " + ", ".join(f"`{m}` double" for m in ranking.METRICS))
     got = {str(ranking.macro(ranking.class_level(df.repartition(n).orderBy(F.xxhash64("query_id", F.lit(n))))).first()) for n in (1, 3, 7, 8)}
     assert len(got) == 1
+
+
+def test_hashed_draws_equal_a_plain_loop(spark):
+    """More comparisons and replicates than share a row; comparisons with fewer units have draws of their own."""
+    import hashlib
+
+    rng = np.random.default_rng(5)
+    rows = [(f"k{k:02}", label, f"{label}{u}", float(a), float(b)) for k in range(36) for label, n in (("x", 3), ("y", 4 + k % 2)) for u in range(n) for a, b in rng.random((1 + u % 2, 2))]
+    frame = spark.createDataFrame(rows, "c string, label string, unit string, a double, b double")
+    replicates, seed = 130, 7
+
+    def number(b, label, i):
+        return int(hashlib.md5(f"{seed}|{b}|{label}|{i}".encode()).hexdigest()[:8], 16)
+
+    want = {}
+    for c in {r[0] for r in rows}:
+        sums = {}
+        for _, label, u, a, b in (r for r in rows if r[0] == c):
+            s, n = sums.setdefault(label, {}).get(u, (0.0, 0))
+            sums[label][u] = (s + b - a, n + 1)
+        listed = {label: [v for _, v in sorted(t.items())] for label, t in sums.items()}
+        ratio = lambda picks: np.mean([sum(t[i][0] for i in p) / sum(t[i][1] for i in p) for t, p in zip(listed.values(), picks, strict=True)])
+        d = np.array([ratio([[number(b, label, i) % len(t) for i in range(len(t))] for label, t in listed.items()]) for b in range(replicates)])
+        tail = min((d <= 0).mean(), (d >= 0).mean())
+        want[c] = (ratio([range(len(t)) for t in listed.values()]), *np.percentile(d, [2.5, 97.5]), min(1.0, max(2 * tail, 1 / replicates)), d.std(ddof=1), sum(v[1] for t in listed.values() for v in t), sum(map(len, listed.values())))
+    seen = []
+    for n in (1, 5):
+        got = {r.c: (r["diff"], r.ci_lo, r.ci_hi, r.p, r.sd, r.n_rows, r.n_units) for r in statistics.bootstrap_hashed(frame.repartition(n), replicates, seed, ("c",)).collect()}
+        assert set(got) == set(want) and all(np.allclose(got[c], want[c], rtol=0, atol=1e-12) for c in want)
+        seen.append(got)
+    assert all(np.allclose(seen[0][c], seen[1][c], rtol=0, atol=1e-14) for c in want)
+    one = statistics.bootstrap_hashed(frame.filter("c = 'k00'").drop("c"), replicates, seed).first()
+    assert np.allclose([one["diff"], one.ci_lo], want["k00"][:2]) and one.n_rows == want["k00"][5]
+    assert statistics.bootstrap_hashed(frame.limit(0), 10, 1, ("c",)).count() == 0
