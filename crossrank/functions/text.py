@@ -11,6 +11,8 @@ from crossrank.functions.vectors import bind
 
 #: White space by Unicode, with the four separators that Python also strips; spelled out, as engines differ.
 SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: The same characters one by one.
+SPACES = "".join(filter(str.isspace, map(chr, range(0x3001))))
 #: Least length of a useful text, of a useful rewrite, of a dynamic term; terms named in a retry.
 USEFUL_CHARS, REWRITE_CHARS, TERM_CHARS, RETRY_TERMS = 15, 20, 4, 20
 
@@ -57,14 +59,17 @@ STOPWORDS = (
 
 
 def _strip(s: Column) -> Column:
-    return F.regexp_replace(s, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(s, F.lit(SPACES))
+
+
+#: What becomes one blank: any run of white space, and a lone tab or line end. Other lone white space stays, as does a
+#: lone blank, which most are; so one pass matches little. Signs of ASCII are ruled out first, by a test of one range.
+BLANKED = f"(?![!-~])(?:{SPACE}{{2,}}|[\\t\\r\\n])"
 
 
 def one_paragraph(s: Column) -> Column:
     """One line with single blanks; empty for null."""
-    s = F.coalesce(s.cast("string"), F.lit(""))
-    s = F.regexp_replace(F.translate(s, "\r", "\n"), r"[ \t]+", " ")
-    return _strip(F.regexp_replace(F.translate(s, "\n", " "), f"{SPACE}{{2,}}", " "))
+    return _strip(F.regexp_replace(F.coalesce(s.cast("string"), F.lit("")), BLANKED, " "))
 
 
 def ensure_period(s: Column) -> Column:
@@ -106,23 +111,36 @@ def _searched(pattern: str) -> str:
     return f"(?U)(?={first[1]}){pattern}" if first else f"(?U){pattern}"
 
 
+def _folded(text: Column) -> Column:
+    """Lower case, with ``FOLDED`` replaced; each is absent from most texts, so a search for it costs less than a mapping."""
+    for letter, plain in zip(*FOLDED, strict=True):
+        text = F.replace(text, F.lit(letter), F.lit(plain))
+    return F.lower(text)
+
+
+def _static(low: Column) -> Column:
+    hit = lambda p: F.when(low.contains(literal(p)) & low.rlike(_searched(p)), F.lit(p))
+    return F.array_compact(F.array(*map(hit, STATIC_PATTERNS)))
+
+
+def _dynamic(low: Column, terms: Column) -> Column:
+    begins = lambda t: low.contains(t) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b"), t))
+    return F.filter(terms, lambda t: begins(_folded(t)))
+
+
 def static_hits(text: Column) -> Column:
     """Static patterns that match, in their order; a pattern is tried where its plain part occurs."""
-    text = F.coalesce(text, F.lit(""))
-    hit = lambda low, p: F.when(low.contains(literal(p)) & low.rlike(_searched(p)), F.lit(p))
-    return bind(F.lower(F.translate(text, *FOLDED)), lambda low: F.array_compact(F.array(*[hit(low, p) for p in STATIC_PATTERNS])))
+    return bind(_folded(F.coalesce(text, F.lit(""))), _static)
 
 
 def dynamic_hits(text: Column, terms: Column) -> Column:
     """Terms that begin a word of the text, in their order; a term is tried where it occurs at all."""
-    folded = lambda c: F.lower(F.translate(c, *FOLDED))
-    begins = lambda low, t: low.contains(t) & F.regexp_like(low, F.concat(F.lit(r"(?U)\b"), t))
-    return bind(folded(F.coalesce(text, F.lit(""))), lambda low: F.filter(terms, lambda t: begins(low, folded(t))))
+    return bind(_folded(F.coalesce(text, F.lit(""))), lambda low: _dynamic(low, terms))
 
 
 def leakage(text: Column, terms: Column) -> Column:
-    """All that a text gives away: static patterns, then the row's own terms."""
-    return F.concat(static_hits(text), dynamic_hits(text, terms))
+    """All that a text gives away: static patterns, then the row's own terms. The text is made and folded once."""
+    return bind(_folded(F.coalesce(text, F.lit(""))), lambda low: F.concat(_static(low), _dynamic(low, terms)))
 
 
 #: The instructions that a rewriter gets; a caller may pass others.

@@ -73,9 +73,11 @@ def load(name: str) -> Rewriter:
 _SPACE = "\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+_BLANKED = re.compile(f"[{_SPACE}]{{2,}}|[\t\r\n]")
+
+
 def _line(s: str) -> str:
-    s = re.sub(r"[ \t]+", " ", (s or "").replace("\r", "\n")).replace("\n", " ")
-    return re.sub(f"[{_SPACE}]{{2,}}", " ", s).strip()
+    return _BLANKED.sub(" ", s or "").strip()
 
 
 def _sentence(s: str) -> str:
@@ -88,8 +90,8 @@ _FOLD = str.maketrans(*FOLDED)
 
 def _leaks(text: str, terms: list[str], patterns: list[tuple[str, re.Pattern]]) -> list[str]:
     low = text.translate(_FOLD).lower()
-    hit = [p.pattern for plain, p in patterns if plain in low and p.search(text)]
-    return hit + [t for t in terms if t in low and re.search(rf"\b{re.escape(t)}\w*\b", text, re.I)]
+    hit = [p.pattern for plain, p in patterns if plain in low and p.search(low)]
+    return hit + [t for t in terms if t in low and re.search(rf"\b{re.escape(t)}", low)]
 
 
 def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, instructions: str = INSTRUCTIONS) -> DataFrame:
@@ -103,7 +105,7 @@ def rewrite(reports: DataFrame, rewriter: Rewriter = stub, attempts: int = 3, in
     ready = ready.select("slide_id", F.col("case_id").cast("string"), F.col("project_id").cast("string"), F.col(SOURCE).alias("original_slide_reports"), "removed_terms", "_terms", payload(F.col(SOURCE)).alias("_payload"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        patterns = [(literal(p), re.compile(p, re.I)) for p in STATIC_PATTERNS]
+        patterns = [(literal(p), re.compile(p)) for p in STATIC_PATTERNS]
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):

@@ -91,3 +91,30 @@ def test_leaks_equal_plain_searches_without_case(spark):
     df = spark.createDataFrame(rows, "i long, t string, w array<string>")
     got = df.select(tx.static_hits(F.col("t")).alias("a"), plain.alias("b"), tx.dynamic_hits(F.col("t"), F.col("w")).alias("c"), named.alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got) and sum(len(r.a) for r in got) > 1500 and sum(len(r.c) for r in got) > 100
+
+
+def test_one_pass_over_white_space_equals_the_steps_one_by_one(spark):
+    """Column and Python form against the plain steps: line ends, runs of blanks and tabs, line ends to blanks, runs of any white space."""
+    from crossrank.operators.rewriting import _line
+
+    def steps(s):
+        s = re.sub(r"[ \t]+", " ", s.replace("\r", "\n")).replace("\n", " ")
+        return re.sub(r"\s{2,}", " ", s).strip()
+
+    rng = random.Random(3)
+    odd = "  \t\r\n\x0b\x1c\x1f\x85\xa0\u1680\u2003\u2028\u202f\u3000" + "aZ.!~\u00e9\u200b\U0001f600"
+    texts = ["", " ", "\u3000", "\t", "a\tb", "a \xa0b", "\xa0a\xa0"] + ["".join(rng.choices(odd, k=rng.randrange(1, 30))) for _ in range(2000)]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.one_paragraph(F.col("t"))).collect()
+    assert dict(map(tuple, got)) == {i: steps(t) for i, t in enumerate(texts)}
+    assert [_line(t) for t in texts] == [steps(t) for t in texts]
+
+
+def test_python_and_column_find_the_same_leaks(spark):
+    from crossrank.operators.rewriting import _leaks
+
+    texts = ["", "High-Grade FIRM mass, 3.5 CM; Ki 67", "\u0130n keep\u0131ng with \u017farcoma", "CYTO\u212aERATIN breasts abreast", "cd20 CD 20 her2neu HER2", "STAGE II pT2 tnm grade iv"]
+    terms = ["breast", "keratin", "mass"]
+    patterns = [(tx.literal(p), re.compile(p)) for p in tx.STATIC_PATTERNS]
+    whole = [[p for p in tx.STATIC_PATTERNS if re.search(p, t.translate(str.maketrans(*tx.FOLDED)), re.I)] + [x for x in terms if re.search(rf"\b{x}\w*\b", t.translate(str.maketrans(*tx.FOLDED)), re.I)] for t in texts]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", tx.leakage(F.col("t"), F.array(*map(F.lit, terms)))).collect()
+    assert [_leaks(t, terms, patterns) for t in texts] == whole and dict(map(tuple, got)) == dict(enumerate(whole))
