@@ -48,21 +48,23 @@ def footprint(step: Column, mpp: Column, app_mag: Column) -> Column:
     return F.struct(um.alias("patch_um"), (um / (mpp * app_mag / 20.0)).alias("px_20x"))
 
 
-def tissue_box(pixels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """``r0, r1, c0, c1`` of the rows and columns with tissue, from ``y, x, r, g, b``; raises where there is none."""
+def tissue_span(pixels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """``r0, r1, c0, c1`` of the rows and columns with tissue, from ``y, x, r, g, b``; null where there is none."""
     dark = ((F.col("r") + F.col("g") + F.col("b")) / 3.0 < BACKGROUND).cast("int")
     marked = pixels.select(*by, "y", "x", dark.alias("_t"))
 
     def span(axis: str, a: str, b: str) -> DataFrame:
-        line = marked.groupBy(*by, axis).agg(F.avg("_t").alias("_f")).filter(F.col("_f") > TISSUE_SHARE)
-        return line.groupBy(*by).agg(F.min(axis).alias(a), F.max(axis).alias(b))
+        kept = F.when(F.col("_f") > TISSUE_SHARE, F.col(axis))
+        return marked.groupBy(*by, axis).agg(F.avg("_t").alias("_f")).groupBy(*by).agg(F.min(kept).alias(a), F.max(kept).alias(b))
 
     rows, cols = span("y", "r0", "r1"), span("x", "c0", "c1")
-    if by:
-        return rows.join(cols, list(by))
-    box = rows.crossJoin(cols)  # one row each
+    return rows.join(cols, list(by)) if by else rows.crossJoin(cols)  # one row each
+
+
+def tissue_box(pixels: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """As ``tissue_span``, but raises where there is none."""
     need = lambda c: F.when(F.col(c).isNotNull(), F.col(c)).otherwise(F.raise_error(F.lit("no tissue detected")))
-    return box.select(*[need(c).alias(c) for c in ("r0", "r1", "c0", "c1")])
+    return tissue_span(pixels, by).select(*by, *[need(c).alias(c) for c in ("r0", "r1", "c0", "c1")])
 
 
 def crop(box: DataFrame, height: Column, width: Column) -> DataFrame:

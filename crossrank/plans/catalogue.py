@@ -717,7 +717,7 @@ def _pixels(s, d) -> DataFrame:
 
 @query(f"WITH {_PX}, r AS (SELECT y, avg(CAST(g < 235 AS INT)) AS f FROM px GROUP BY y), c AS (SELECT x, avg(CAST(g < 235 AS INT)) AS f FROM px GROUP BY x) SELECT (SELECT min(y) FROM r WHERE f > 0.003) AS r0, (SELECT max(y) FROM r WHERE f > 0.003) AS r1, (SELECT min(x) FROM c WHERE f > 0.003) AS c0, (SELECT max(x) FROM c WHERE f > 0.003) AS c1")
 def q_tissue_bbox(s, d):
-    return spatial.tissue_box(_pixels(s, d))
+    return spatial.tissue_span(_pixels(s, d))  # nulls where no line has tissue, as its SQL
 
 
 @query(f"WITH {_XY} SELECT slide_id, round(x / 16.0 - 20, 6) + 0.0 AS px, round(y / 16.0 - 1, 6) + 0.0 AS py, CAST(20 - floor(51 * 0.015) AS BIGINT) AS c0 FROM xy")

@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from crossrank.operators import cohort, rewriting, spatial
+from crossrank.plans import catalogue
 from crossrank.streaming.rewriting import rewrite_stream
 
 REPORTS = "slide_id long, case_id string, project_id string, slide_reports string, cancer_type_detailed string, site_of_resection_or_biopsy string, slide_reports_no_diagnosis_strict string"
@@ -105,6 +107,20 @@ def test_spatial(spark):
     assert tuple(spatial.check_inside(points, F.lit(10), F.lit(10), F.lit(2), F.lit(2)).first()) == (1, 2)
 
 
+def test_tissue_of_a_long_image(spark, tmp_path):
+    """Three dark lines of 1001 are too small a share of any column: the query gives its SQL's nulls, the operator an error."""
+    spark.range(100_100).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0)).alias("embedding"), F.lit(0).alias("label")).write.parquet(f"{tmp_path}/embeddings.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = duck.execute(catalogue.SQL["q_tissue_bbox"]).fetchall()
+    assert [tuple(r) for r in catalogue.q_tissue_bbox(spark, str(tmp_path)).collect()] == want == [(1, 3, None, None)]
+    slides = spark.createDataFrame([(1, 0, 0, 9, 9, 9), (2, 0, 0, 255, 255, 255)], "slide_id int, y int, x int, r int, g int, b int")
+    assert sorted(map(tuple, spatial.tissue_span(slides, ("slide_id",)).collect())) == [(1, 0, 0, 0, 0), (2, None, None, None, None)]
+    assert tuple(spatial.tissue_box(slides.filter("slide_id = 1"), ("slide_id",)).first()) == (1, 0, 0, 0, 0)
+    with pytest.raises(Exception, match="no tissue"):
+        spatial.tissue_box(slides, ("slide_id",)).collect()
+
+
 def test_streamed_rewriting(spark, tmp_path):
     df = reports(spark, LONG, LONG)
     df.write.parquet(f"{tmp_path}/in")
