@@ -7,6 +7,8 @@ import re
 import secrets
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 from hashlib import blake2b
 
@@ -46,6 +48,23 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return stored(spark, df, name)[0]
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Removes the shuffle files of each table written inside as soon as it is written.
+
+    Else they stay until the driver happens to collect garbage, beside those of the next query.
+    """
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_CLEANUP, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Removes a stored table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from crossrank.llm.blocks import MESSAGE, Dealt, answers, ask, cuts, deal, documents, in_order, kept_state, message_table, messages
-from crossrank.llm.common import Words, digest, table, written
+from crossrank.llm.common import Words, digest, shuffles_removed, table, written
 
 WINDOW, ANCHOR = 13, 8
 
@@ -185,7 +185,8 @@ def repeats(dealt: Dealt) -> DataFrame:
     marked = ask(by_block.applyInArrow(anchors, MESSAGE), _elsewhere, "<u4")
     broken = ask(by_block.cogroup(marked.groupBy("block")).applyInArrow(nodes, MESSAGE), _breaks, NODE.descr)
     found = by_block.cogroup(broken.groupBy("block")).applyInArrow(paths, PATH)
-    found = written(docs.sparkSession, found, "paths")
+    with shuffles_removed(docs.sparkSession):
+        found = written(docs.sparkSession, found, "paths")
     # Paths are ranked with one place at most: a row for each block that holds one, however many documents do.
     # Paths with more places in a block stay with it, and get back a smaller id only where another block has one.
     single = F.octet_length("places") == PLACE.itemsize

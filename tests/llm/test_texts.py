@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -159,6 +160,21 @@ def test_substrings_over_many_blocks(spark, monkeypatch):
     assert sorted(map(tuple, substrings.deduplicate(df).collect())) == brute_windows(rows)
 
 
+def test_substrings_leave_no_shuffle_of_the_paths(spark, docs):
+    """The messages of blocks and buckets are gone once the paths are stored, before the texts are dealt again."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    lying = lambda: {n for n in re.findall(r"shuffle_\d+_\d+_\d+\.data", manager.getAllFiles().mkString("\n"))}
+    dealt = substrings.deal(docs, "doc_id", "text")
+    was = lying()
+    paths = substrings.repeats(dealt)
+    for _ in range(50):
+        if not (left := lying() - was):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    assert sorted(paths.collect(), key=repr) == sorted(paths.collect(), key=repr)
+
+
 def test_substrings_odd_rows(spark, odd):
     got = {r.doc_id: r for r in substrings.deduplicate(odd).collect()}
     assert got[1].n_words == got[2].n_words == got[3].n_words == 0 and got[1].kept == ""
